@@ -1,7 +1,9 @@
 """Quality rule: how far a document's histograms diverge from its language's.
 
 Two histograms: character classes, and the most common words of the language with one bucket for all
-others. The distance is Jensen-Shannon's, base 2: 0 for equal, 1 for disjoint histograms.
+others. The distance is Jensen-Shannon's, base 2: 0 for equal, 1 for disjoint histograms. The reference
+of characters is the median document, class by class: junk, however long, doesn't move it while it is
+the lesser part of the documents.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import Hasher, slices, text_bytes
-from .work import Work, col
+from .work import col
 
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "mark", "symbol", "wide")
 _SKIP = len(CLASSES)
@@ -53,33 +55,58 @@ def _codes(langs: pa.Array) -> tuple[np.ndarray, list]:
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch: words by language as (lang, word hash, count), and characters as (lang, class, count)."""
-    hasher, table = Hasher(), class_table()
+STEPS = 2000  # to which shares are rounded before their median is taken
+
+
+def _counted(lang: str | None, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(key), np.int32))), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
+
+
+def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch: (lang, word hash, count)."""
+    hasher = Hasher()
     for batch in batches:
         code, langs = _codes(batch.column("lang"))
         words: list[list[np.ndarray]] = [[] for _ in langs]
-        chars = np.zeros((len(langs), _SKIP), np.int64)
         for first, texts in slices(batch.column("text")):
             h, o = hasher.words(texts)
             here = code[first : first + len(texts)]
-            np.add.at(chars, here, class_counts(texts, table))
             by_word = np.repeat(here, np.diff(o))
             for c in np.unique(here).tolist():
                 words[c].append(h[by_word == c])
         for c, lang in enumerate(langs):
             w, n = np.unique(np.concatenate(words[c]), return_counts=True)
-            for kind, key, count in (("word", w.view(np.int64), n), ("char", np.arange(_SKIP), chars[c])):
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(key), np.int32))), pa.array([kind]).take(pa.array(np.zeros(len(key), np.int32))), pa.array(key.astype(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "kind", "key", "n"])
+            yield _counted(lang, w.view(np.int64), n)
+
 
+def _class_counter(min_chars: int):
+    """Of each batch: (lang, class and rounded share as one number, documents of at least min_chars characters)."""
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 64) -> DataFrame:
-    """(lang, kind, key, n) over all documents: kind char has each class's count; word the `top` commonest words (by hash)
-    and, under a null key, the count of all other words. A null lang is a language of its own."""
-    counts = docs.select(col(lang_col).cast("string").alias("lang"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_counter, "lang string, kind string, key long, n long")
-    totals = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    chars = totals.where("kind = 'char'")
-    words = totals.where("kind = 'word'")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = class_table()
+        for batch in batches:
+            code, langs = _codes(batch.column("lang"))
+            for first, texts in slices(batch.column("text")):
+                chars = class_counts(texts, table)
+                n, here = chars.sum(1), code[first : first + len(texts)]
+                key = np.arange(_SKIP) * (STEPS + 1) + np.rint(chars * STEPS / np.maximum(n, 1)[:, None]).astype(np.int64)
+                for c in np.unique(here).tolist():
+                    yield _counted(langs[c], *np.unique(key[(here == c) & (n >= max(min_chars, 1))], return_counts=True))
+
+    return count
+
+
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 64, min_chars: int = 200) -> DataFrame:
+    """(lang, kind, key, n) over all documents: kind char has each class's share, in STEPS, in the median document of at
+    least min_chars characters; word the count of the `top` commonest words (by hash) and, under a null key, of
+    all words. A null lang is a language of its own."""
+    rows = docs.select(col(lang_col).cast("string").alias("lang"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
+    totals = [rows.mapInArrow(f, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")) for f in (_class_counter(min_chars), _word_counter)]
+    classes = totals[0].withColumn("class", F.floor(F.col("key") / (STEPS + 1)))
+    one = Window.partitionBy("lang", "class")
+    below = classes.withColumns({"upto": F.sum("n").over(one.orderBy("key")), "all": F.sum("n").over(one)}).where(F.col("upto") * 2 >= F.col("all"))
+    chars = below.groupBy("lang", "class").agg(F.min(F.col("key") % (STEPS + 1)).alias("n")).select("lang", F.lit("char").alias("kind"), F.col("class").alias("key"), "n")
+    words = totals[1].select("lang", F.lit("word").alias("kind"), "key", "n")
     best = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("r") <= top).drop("r")
     whole = words.groupBy("lang", "kind").agg(F.lit(None).cast("long").alias("key"), F.sum("n").alias("n"))
     return chars.unionByName(best).unionByName(whole)
@@ -114,11 +141,11 @@ def _scorer(refs: dict, min_chars: int, min_words: int, most_char: float, most_w
 
 
 _SCORES = ("n_chars", "n_words", "char_divergence", "word_divergence", "keep")
-_LIMITS = {"min_chars": 200, "min_words": 30, "most_char": 0.135, "most_word": 0.12, "char_noise": 20, "word_noise": 22}
+_LIMITS = {"min_chars": 200, "min_words": 30, "most_char": 0.135, "most_word": 0.12, "char_noise": 20, "word_noise": 26}
 _KINDS = ("int", "int", "double", "double", "boolean")
 
 
-def divergence_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = 64, min_chars: int = 200, min_words: int = 30, most_char: float = 0.135, most_word: float = 0.12, char_noise: float = 20, word_noise: float = 22, references: DataFrame | None = None) -> DataFrame:
+def divergence_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = 64, min_chars: int = 200, min_words: int = 30, most_char: float = 0.135, most_word: float = 0.12, char_noise: float = 20, word_noise: float = 26, references: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_chars, n_words, char_divergence, word_divergence, keep) for every row of docs.
 
     keep is false if the text has at least min_chars characters and its character classes are too far
@@ -131,7 +158,7 @@ def divergence_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     at the edge of the list are taken by hash. A language missing from given references keeps its
     documents. An empty table gives no rows. Other columns aren't read.
     """
-    refs = collected_references(references if references is not None else language_references(docs, text_col, lang_col, top))
+    refs = collected_references(references if references is not None else language_references(docs, text_col, lang_col, top, min_chars))
     rows = docs.select(col(id_col).alias("doc_id"), col(lang_col).cast("string").alias("lang"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(_scorer(refs, min_chars, min_words, most_char, most_word, char_noise, word_noise), f"doc_id {kind}, " + ", ".join(f"{n} {k}" for n, k in zip(_SCORES, _KINDS, strict=True)))
@@ -143,7 +170,7 @@ class References(dict):
 
 
 def collected_references(references: DataFrame) -> dict:
-    """By language: character counts, sorted hashes of common words, their counts and that of the rest. A few rows a language."""
+    """By language: character shares, sorted hashes of common words, their counts and that of the rest. A few rows a language."""
     refs: dict = References()
     for lang, rows in references.groupBy("lang").agg(F.collect_list(F.struct("kind", "key", "n"))).collect():
         chars = np.zeros(_SKIP)
@@ -166,7 +193,7 @@ def keep_by_divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = docs.columns
     top = params.pop("top", 64)
     limits = _LIMITS | params
-    refs = collected_references(language_references(docs, text_col, lang_col, top))
+    refs = collected_references(language_references(docs, text_col, lang_col, top, limits["min_chars"]))
     rule = _scorer(refs, **limits)
     text_at, lang_at = names.index(text_col), names.index(lang_col)
 
