@@ -4,17 +4,369 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import lists as L
+from .functions import parsing as P
+from .functions import text as T
+from .operators import lexicon as lex
+from .operators import match, models, stats, summary, topics
+from .plans.filtering import clean_posts, filtered_posts, strict_posts
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("n"))
+LEXICON = {"common": ["that", "with", "The "], "rare": ["from", "of the", "est"], "foreign": ["und der", "que", "from"], "tags": ["<b>and"]}
+AI = ["the", "tion", "der", "de"]
+GROUPS = {**{f"src{i}": "technical" for i in range(5)}, **{f"src{i}": "general_reddit" for i in range(5, 9)}, "src9": "critical_discussion", "src10": "creative_AI_communities", "TwoXChromosomes": "critical_discussion"}
+TERMS = ("thion", "Erha", "queé")
+
+Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as posts, with markup put in, and with ids that run past the dated range."""
+    sub = F.when(F.col("source") == "src11", "TwoXChromosomes").otherwise(F.col("source"))
+    title = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, "[Deleted]").otherwise(F.concat(F.lit("See http://a.b/"), F.col("doc_id"), F.lit(" and www.c.d <i>x</i>! OK,")))
+    body = F.when(F.col("doc_id") % 77 == 0, "[removed]").otherwise(F.concat("text", F.lit(" <b>and http://z")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), sub.alias("subreddit"), title.alias("title"), body.alias("selftext"), (1640990000 + F.col("doc_id") * 100000).cast("long").alias("created_utc"))
+
+
+RAW = """raw AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN source = 'src11' THEN 'TwoXChromosomes' ELSE source END AS subreddit,
+ CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN '[Deleted]' ELSE 'See http://a.b/' || doc_id || ' and www.c.d <i>x</i>! OK,' END AS title,
+ CASE WHEN doc_id % 77 = 0 THEN '[removed]' ELSE text || ' <b>and http://z' END AS selftext, 1640990000 + doc_id * 100000 AS created_utc FROM documents)"""
+EMPTY = "('', 'none', 'null', '[removed]', '[deleted]')"
+POSTS = RAW + r""", whole AS (SELECT *, coalesce(title, '') || ' ' || coalesce(selftext, '') AS full_text FROM raw WHERE created_utc >= 1640995200 AND created_utc <= 1735689599
+ AND (lower(coalesce(title, '')) NOT IN """ + EMPTY + " OR lower(coalesce(selftext, '')) NOT IN " + EMPTY + r""")),
+p1 AS (SELECT *, regexp_replace(full_text, 'http\S+|www\.\S+', '') AS c1, regexp_replace(lower(full_text), 'http\S+|www\.\S+', '') AS l1 FROM whole),
+p2 AS (SELECT *, regexp_replace(c1, '<.*?>', '') AS clean_text, regexp_replace(l1, '<.*?>', '') AS l2 FROM p1),
+posts AS (SELECT *, regexp_replace(l2, '[^0-9a-z_%/:\s\x{200D}\x{FE0F}\x{2600}-\x{26FF}\x{1F300}-\x{1FAFF}-]', ' ') AS clean_text_lc FROM p2)"""
+
+
+def values(rows) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+LEX_ROWS = [(c, k) for c, ws in LEXICON.items() for k in ws]
+DIMS = f", lexicon(category, keyword) AS (SELECT trim(lower(c)), trim(lower(k)) FROM ({values(LEX_ROWS)}) AS v(c, k)), ai(keyword) AS ({values([(k,) for k in AI])}), groups_(sub, grp) AS ({values(GROUPS.items())})"
+HITS = r""", hits AS (SELECT p.id, p.subreddit, p.clean_text_lc, k.category, k.keyword FROM posts p JOIN lexicon k
+ ON regexp_matches(' ' || p.clean_text_lc || ' ', '(^|\s)' || regexp_escape(k.keyword) || '(\s|$)')),
+arrays AS (SELECT id, min(subreddit) AS subreddit, min(clean_text_lc) AS lc, list_sort(list(DISTINCT category)) AS types, list_sort(list(DISTINCT keyword)) AS words FROM hits GROUP BY id),
+filtered AS (SELECT a.*, g.grp FROM arrays a LEFT JOIN groups_ g ON lower(a.subreddit) = lower(g.sub) WHERE EXISTS (SELECT 1 FROM ai
+ WHERE regexp_matches(' ' || a.lc || ' ', '(^|\s)' || regexp_escape(ai.keyword) || '(?:al|ed|es|ical|s|y)?(\s|$)'))
+ AND CASE WHEN lower(a.subreddit) = 'twoxchromosomes' THEN len(words) >= 2 WHEN g.grp IN ('technical', 'critical_discussion', 'creative_ai_communities') THEN true
+ WHEN g.grp = 'general_reddit' THEN len(words) >= 2 ELSE false END)"""
+STAGE2 = "WITH " + POSTS + DIMS + HITS
+
+
+def dims(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    groups = spark.createDataFrame(list(GROUPS.items()), "subreddit string, group string")
+    return groups, lex.from_mapping(spark, LEXICON), spark.createDataFrame([(k,) for k in AI], "keyword string")
+
+
+def stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered_posts(raw_posts(spark, sf_dir), *dims(spark))
+
+
+@query(STAGE2 + " SELECT grp AS subreddit_group, count(*) AS posts FROM filtered GROUP BY grp")
+def flagship(spark, sf_dir):
+    return stage2(spark, sf_dir).groupBy("subreddit_group").agg(F.count("*").alias("posts"))
+
+
+@query(STAGE2 + " SELECT id, subreddit, grp AS subreddit_group, array_to_string(types, ', ') AS types, array_to_string(words, ', ') AS words FROM filtered")
+def filtered_post_lists(spark, sf_dir):
+    return stage2(spark, sf_dir).select("id", "subreddit", "subreddit_group", L.join_list(F.col("matched_bias_types")).alias("types"), L.join_list(F.col("matched_keywords")).alias("words"))
+
+
+@query("WITH " + POSTS + " SELECT id, clean_text, clean_text_lc, full_text FROM posts")
+def cleaned_posts(spark, sf_dir):
+    return clean_posts(raw_posts(spark, sf_dir)).select("id", "clean_text", "clean_text_lc", "full_text")
+
+
+@query("WITH " + POSTS + DIMS + HITS + " SELECT id, category, keyword FROM hits")
+def keyword_theta_join(spark, sf_dir):
+    return match.match_keywords(clean_posts(raw_posts(spark, sf_dir)), dims(spark)[1]).select("id", "category", "keyword")
+
+
+@query("WITH " + POSTS + DIMS + r""" SELECT p.id FROM posts p WHERE EXISTS (SELECT 1 FROM ai WHERE regexp_matches(' ' || p.clean_text_lc || ' ', '(^|\s)' || regexp_escape(ai.keyword) || '(?:al|ed|es|ical|s|y)?(\s|$)'))""")
+def suffix_semi_join(spark, sf_dir):
+    return match.with_any_keyword(clean_posts(raw_posts(spark, sf_dir)), dims(spark)[2]).select("id")
+
+
+@query("WITH " + POSTS + DIMS + " SELECT p.id, g.grp FROM posts p LEFT JOIN groups_ g ON lower(p.subreddit) = lower(g.sub)")
+def group_left_join(spark, sf_dir):
+    from .plans.filtering import with_groups
+
+    return with_groups(clean_posts(raw_posts(spark, sf_dir)), dims(spark)[0]).select("id", F.col("subreddit_group").alias("grp"))
+
+
+@query(STAGE2 + " SELECT t AS bias_type, count(*) AS cnt FROM (SELECT unnest(types) AS t FROM filtered) GROUP BY t ORDER BY cnt DESC, t LIMIT 10")
+def top_bias_types(spark, sf_dir):
+    return summary.top_items(stage2(spark, sf_dir), "matched_bias_types", "bias_type", 10)
+
+
+@query(STAGE2 + " SELECT k.category, k.keyword, count(*) AS cnt FROM (SELECT unnest(words) AS w FROM filtered) f JOIN lexicon k ON lower(f.w) = k.keyword GROUP BY ALL ORDER BY cnt DESC, category, keyword LIMIT 20")
+def top_keywords(spark, sf_dir):
+    return summary.top_keywords_with_category(stage2(spark, sf_dir), dims(spark)[1])
+
+
+@query(STAGE2 + " SELECT (SELECT count(*) FROM filtered) AS kept, (SELECT count(*) FROM posts) AS total, round((SELECT count(*) FROM filtered) * 100.0 / (SELECT count(*) FROM posts), 6) AS pct")
+def filter_percentage(spark, sf_dir):
+    kept, total = stage2(spark, sf_dir).agg(F.count("*").alias("kept")), clean_posts(raw_posts(spark, sf_dir)).agg(F.count("*").alias("total"))
+    return kept.crossJoin(total).withColumn("pct", F.round(summary.filter_rate(F.col("kept"), F.col("total")), 6))
+
+
+@query(STAGE2 + r""" SELECT subreddit, w AS keyword, cnt FROM (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY cnt DESC, w) AS r FROM
+ (SELECT subreddit, w, count(*) AS cnt FROM (SELECT subreddit, unnest(words) AS w FROM filtered) GROUP BY ALL)) WHERE r <= 3""")
+def keywords_per_subreddit(spark, sf_dir):
+    counts = summary.counts_of_items(stage2(spark, sf_dir), "subreddit", "matched_keywords", "keyword")
+    return summary.ranked(counts, "subreddit", "cnt", "keyword", 3).select("subreddit", "keyword", "cnt")
+
+
+@query(STAGE2 + " SELECT subreddit, t AS bias_type, id FROM (SELECT subreddit, t, id, row_number() OVER (PARTITION BY subreddit, t ORDER BY CAST(id AS BIGINT)) AS r FROM (SELECT subreddit, id, unnest(types) AS t FROM filtered)) WHERE r <= 2")
+def example_posts(spark, sf_dir):
+    each = stage2(spark, sf_dir).select("subreddit", "id", F.explode("matched_bias_types").alias("bias_type")).withColumn("ordinal", F.col("id").cast("long"))
+    return summary.examples(each, ["subreddit", "bias_type"], ["ordinal"], 2).select("subreddit", "bias_type", "id")
+
+
+STRICT_LEX = {"common": ["that", "with"], "rare": ["from the", "east"]}
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, source, lower(text) AS tl FROM documents WHERE lang = 'en'), m AS (SELECT *, """
+    + ", ".join(rf"regexp_matches(tl, '\b{k}(?:al|ed|es|ical|s|y)?\b') AS k{i}" for i, k in enumerate(["that", "with", "from the", "east", "there"]))
+    + r""" FROM t), g AS (SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'technical' ELSE 'general_reddit' END AS grp FROM m)
+SELECT CAST(doc_id AS VARCHAR) AS id, grp AS subreddit_group, array_to_string(list_sort(list_filter([CASE WHEN k0 OR k1 THEN 'common' END, CASE WHEN k2 OR k3 THEN 'rare' END], lambda x: x IS NOT NULL)), ', ') AS types,
+ array_to_string(list_sort(list_filter([CASE WHEN k0 THEN 'that' END, CASE WHEN k1 THEN 'with' END, CASE WHEN k2 THEN 'from the' END, CASE WHEN k3 THEN 'east' END, CASE WHEN k4 THEN 'there' END], lambda x: x IS NOT NULL)), ', ') AS words
+FROM g WHERE (k0 OR k1 OR k2 OR k3) AND (grp = 'technical' OR k4)"""
+)
+def strict_recheck(spark, sf_dir):
+    group = F.when(F.col("source").isin("src0", "src1", "src2", "src3"), "Technical").otherwise("general_reddit")
+    none = F.array().cast("array<string>")
+    posts = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), group.alias("subreddit_group"), F.col("text").alias("clean_text"), F.lower("text").alias("clean_text_lc"), none.alias("matched_bias_types"), none.alias("matched_keywords"))
+    return strict_posts(posts, STRICT_LEX, ["there"]).select("id", "subreddit_group", L.join_list(F.col("matched_bias_types")).alias("types"), L.join_list(F.col("matched_keywords")).alias("words"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower('<p>' || text || ' http://x.y/z'), 'http\S+|www\.\S+', '', 'g'), '<.*?>', '', 'g'), '[^a-z\s]', '', 'g'), '\s+', ' ', 'g')) AS words FROM documents""")
+def normalized_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalized_words(F.concat(F.lit("<p>"), "text", F.lit(" http://x.y/z"))).alias("words"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(html || ' [deleted]', 'http\S+', '[URL]', 'g'), '&amp;', '&'), '\[removed\]|\[deleted\]', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages""")
+def basic_cleaning(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.basic_clean(F.concat("html", F.lit(" [deleted]"))).alias("t"))
+
+
+@query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{t.lower()}')" for t in TERMS))
+def blacklist_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(T.contains_any(F.col("text"), TERMS)).select("doc_id")
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS n FROM documents")
+def word_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n"))
+
+
+@query("SELECT source AS subreddit, count(*) AS rows FROM documents GROUP BY source")
+def rows_per_subreddit(spark, sf_dir):
+    return summary.rows_per(table(spark, sf_dir, "documents").withColumnRenamed("source", "subreddit"), "subreddit")
+
+
+def source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("cnt"))
+
+
+SL = "WITH c AS (SELECT source, lang, count(*) AS cnt FROM documents GROUP BY ALL)"
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*) AS cnt FROM events GROUP BY ALL")
+def monthly_counts(spark, sf_dir):
+    return summary.monthly(table(spark, sf_dir, "events"), "event_type", F.col("ts"))
+
+
+LANGS = ("en", "de", "fr", "es")
+
+
+@query(SL + " SELECT source, " + ", ".join(f"CAST(coalesce(sum(cnt) FILTER (lang = '{v}'), 0) AS BIGINT) AS {v}" for v in LANGS) + " FROM c GROUP BY source")
+def pivot_table(spark, sf_dir):
+    return summary.pivot_counts(source_lang(spark, sf_dir), "source", "lang", LANGS)
+
+
+@query(SL + " SELECT source, " + ", ".join(f"round(coalesce(sum(cnt) FILTER (lang = '{v}'), 0) * 100.0 / sum(cnt), 6) AS {v}" for v in LANGS) + " FROM c GROUP BY source")
+def row_percentages(spark, sf_dir):
+    t = summary.row_percent(summary.pivot_counts(source_lang(spark, sf_dir), "source", "lang", LANGS), "source", LANGS)
+    return t.select("source", *(F.round(v, 6).alias(v) for v in LANGS))
+
+
+@query(SL + ", s AS (SELECT source, cnt / sum(cnt) OVER (PARTITION BY source) AS p FROM c) SELECT source, round(sum(p * p), 9) AS hhi FROM s GROUP BY source")
+def concentration_index(spark, sf_dir):
+    return summary.concentration(source_lang(spark, sf_dir), "source").select("source", F.round("hhi", 9).alias("hhi"))
+
+
+@query("SELECT lang, count(*) AS cnt, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS share_pct FROM documents GROUP BY lang")
+def share_of_total(spark, sf_dir):
+    return summary.share_of_total(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("cnt")))
+
+
+@query(SL + ", s AS (SELECT *, cnt * 100.0 / sum(cnt) OVER (PARTITION BY source) AS p FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY p DESC, lang) AS n FROM s) SELECT source, lang, round_even(p, 1) AS share_pct FROM r WHERE n <= 2")
+def top_category_shares(spark, sf_dir):
+    return summary.top_shares(source_lang(spark, sf_dir), "source", "lang", 2)
+
+
+@query("WITH c AS (SELECT source, count(*) AS cnt FROM documents GROUP BY ALL) SELECT count(*) AS keys, max(cnt) AS most, (SELECT max(source) FROM c WHERE cnt = (SELECT max(cnt) FROM c)) AS most_key, min(cnt) AS least, (SELECT min(source) FROM c WHERE cnt = (SELECT min(cnt) FROM c)) AS least_key, avg(cnt) AS mean FROM c")
+def subreddit_spread(spark, sf_dir):
+    return summary.spread(table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("cnt")), "source", "cnt")
+
+
+@query("SELECT d.source, l.quality, count(*) AS cnt FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL")
+def metadata_left_join(spark, sf_dir):
+    return topics.attach(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").groupBy("source", "quality").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT quality, count(*) AS cnt, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS share_pct FROM labels GROUP BY quality")
+def label_distribution(spark, sf_dir):
+    return models.label_distribution(table(spark, sf_dir, "labels"), "quality")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS r FROM lineitem) WHERE r = 1")
+def keep_last_by_id(spark, sf_dir):
+    return summary.keep_last(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1")
+def keep_first_by_id(spark, sf_dir):
+    return summary.keep_first(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query("SELECT conv_id, string_agg(text, ' ## ' ORDER BY turn) AS top FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 3 GROUP BY conv_id")
+def first_comments(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("c"))
+    return c.select("conv_id", F.array_join(F.transform(F.slice("c", 1, 3), lambda x: x["text"]), " ## ").alias("top"))
+
+
+@query("SELECT category, array_to_string(list_sort(list(DISTINCT keyword)), ', ') AS keywords FROM (SELECT trim(lower(c)) AS category, trim(lower(k)) AS keyword FROM (" + values(LEX_ROWS + [("Common ", "THAT"), ("x", " ")]) + ") AS v(c, k)) WHERE keyword != '' GROUP BY category")
+def lexicon_grouping(spark, sf_dir):
+    raw = spark.createDataFrame(LEX_ROWS + [("Common ", "THAT"), ("x", " ")], "category string, keyword string")
+    return lex.by_category(raw).select("category", L.join_list(F.col("keywords")).alias("keywords"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, strftime(ts, '%Y-%m') AS month FROM events")
+def json_and_dates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), L.month(L.timestamp(F.lit(None).cast("string"), F.unix_timestamp("ts"))).alias("month"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS pred_label, CASE WHEN doc_id % 3 = 0 THEN 'because ' || doc_id ELSE 'No reasoning provided' END AS reasoning FROM labels")
+def parsed_outputs(spark, sf_dir):
+    y = F.when(F.col("quality") == 1, "Yes").otherwise("0")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('```json\n{"label": "'), y, F.lit('", "reasoning": "because '), F.col("doc_id"), F.lit('."}\n```'))).otherwise(F.concat(F.lit('{"label": "'), y, F.lit('"}')))
+    p = P.parse_output(raw)
+    return table(spark, sf_dir, "labels").select("doc_id", p["label"].alias("pred_label"), p["reasoning"].alias("reasoning"))
+
+
+@query("SELECT doc_id, toxic FROM labels WHERE quality = 1")
+def label_split(spark, sf_dir):
+    yes, _ = models.split_labels(table(spark, sf_dir, "labels").withColumn("pred_label", F.when(F.col("quality") == 1, "yes").otherwise("no")))
+    return yes.select("doc_id", "toxic")
+
+
+VECTOR = 4
+
+
+@query("SELECT label, " + ", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS emotion_{i}" for i in range(VECTOR)) + " FROM embeddings GROUP BY label")
+def mean_vectors(spark, sf_dir):
+    cols = [f"emotion_{i}" for i in range(VECTOR)]
+    m = stats.group_means(stats.widened(table(spark, sf_dir, "embeddings"), "embedding", VECTOR), "label", cols)
+    return m.select("label", *(F.round(c, 6).alias(c) for c in cols))
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT 'emotion_{i}' AS emotion, round((sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))), 3) AS f
+FROM (SELECT count(*) AS n, avg(x) AS m, var_samp(x) AS v, (SELECT avg(CAST(embedding[{i + 1}] AS DOUBLE)) FROM embeddings) AS g FROM (SELECT label, CAST(embedding[{i + 1}] AS DOUBLE) AS x FROM embeddings) GROUP BY label)"""
+        for i in range(VECTOR)
+    )
+)
+def anova_by_label(spark, sf_dir):
+    cols = [f"emotion_{i}" for i in range(VECTOR)]
+    rows = stats.anova(stats.widened(table(spark, sf_dir, "embeddings"), "embedding", VECTOR), "label", cols)
+    return spark.createDataFrame([(c, f) for c, f, _ in rows], "emotion string, f double")
+
+
+@query()
+def manova_by_label(spark, sf_dir):
+    cols = [f"emotion_{i}" for i in range(VECTOR)]
+    got = stats.manova(stats.widened(table(spark, sf_dir, "embeddings"), "embedding", VECTOR), "label", cols)
+    return spark.createDataFrame([(k, *map(float, v)) for k, v in got.items()], "statistic string, value double, f double, num_df double, den_df double, p double")
+
+
+@query()
+def ward_of_means(spark, sf_dir):
+    cols = [f"emotion_{i}" for i in range(VECTOR)]
+    rows = stats.group_means(stats.widened(table(spark, sf_dir, "embeddings"), "embedding", VECTOR), "label", cols).orderBy("label").collect()  # a row for each label
+    link = stats.ward(np.array([[r[c] for c in cols] for r in rows]))
+    return spark.createDataFrame([(int(a), int(b), float(d), int(n)) for a, b, d, n in link], "a int, b int, distance double, size int")
+
+
+def label_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("topic"), F.col("text").alias("clean_text"), (1.0 / (1 + F.col("doc_id") % 5)).alias("topic_probability"))
+
+
+TFIDF = r"""WITH w AS (SELECT lang AS topic, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents), tf AS (SELECT topic, word, count(*) AS tf FROM w GROUP BY ALL),
+f AS (SELECT word, sum(tf) AS f FROM tf GROUP BY word HAVING sum(tf) >= 2), a AS (SELECT avg(t) AS a FROM (SELECT sum(tf) AS t FROM tf GROUP BY topic)),
+s AS (SELECT topic, word, tf * ln(1 + a / f) AS score FROM tf JOIN f USING (word) CROSS JOIN a), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, word) AS rank FROM s)"""
+
+
+@query(TFIDF + " SELECT topic, word, round(score, 4) AS score, rank FROM r WHERE rank <= 5")
+def topic_words(spark, sf_dir):
+    return topics.topic_words(label_docs(spark, sf_dir), n=5).withColumn("score", F.round("score", 4))
+
+
+@query("SELECT lang AS topic, count(*) AS count, round(avg(1.0 / (1 + doc_id % 5)), 9) AS avg_probability FROM documents GROUP BY lang")
+def topic_summary(spark, sf_dir):
+    docs = label_docs(spark, sf_dir)
+    return topics.topic_info(docs, topics.topic_words(docs, n=3)).select("topic", "count", F.round("avg_probability", 9).alias("avg_probability"))
+
+
+@query(TFIDF + " SELECT x.topic, x.word AS a, y.word AS b FROM r x JOIN r y ON x.topic = y.topic AND x.word < y.word WHERE x.rank <= 5 AND y.rank <= 5")
+def word_pairs(spark, sf_dir):
+    return topics.word_pairs(topics.topic_words(label_docs(spark, sf_dir), n=5))
+
+
+@query()
+def embedding_topics(spark, sf_dir):
+    return topics.assign_topics(table(spark, sf_dir, "embeddings"), k=5).groupBy("topic").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT CAST(least(floor(p * 30), 29) AS INTEGER) AS bin, count(*) AS cnt FROM (SELECT (doc_id % 100) / 100.0 AS p FROM documents) GROUP BY 1")
+def confidence_histogram(spark, sf_dir):
+    return summary.histogram(table(spark, sf_dir, "documents").select(((F.col("doc_id") % 100) / 100.0).alias("p")), "p")
+
+
+@query()
+def stub_classification(spark, sf_dir):
+    """The batch contract with a rule in the model's place."""
+
+    def load():
+        return lambda texts: [f"Label: {'yes' if 'the' in t else 'no'}\nReasoning: rule" for t in texts]
+
+    return models.classify(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), F.col("text").alias("clean_text")), load).select("id", "pred_label", "llm_reasoning")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"posts_by_source": flagship}
+    return {name: f for name, (f, _) in Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"posts_by_source": "SELECT source, count(*) AS n FROM documents GROUP BY source"}
+    return {name: sql for name, (_, sql) in Q.items() if sql}
