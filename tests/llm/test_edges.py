@@ -110,10 +110,10 @@ def test_decontamination(docs, none, bench):
 
 
 def test_licenses(spark, docs):
-    rows = [(1, "x/LICENSE", "Released under the MIT License."), (2, "x/y/a.txt", "plain"), (3, "x/y/b.txt", "foo\nAll rights reserved.\nbar baz qux one two three four"), (4, "z/a.txt", "plain"), (5, None, None), (None, "x/q", ""), (6, "x/LICENSE", "Released under the MIT License.")]
+    rows = [(1, "x/LICENSE", "Released under the MIT License."), (2, "x/y/a.txt", "plain"), (3, "x/y/b.txt", "foo\nAll rights reserved.\nbar baz qux one two three four"), (4, "z/a.txt", "plain"), (5, None, None), (None, "x/q", ""), (6, "x/LICENSE", "Released under the MIT License."), (None, "v/LICENSE", "All rights reserved.")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumns({"dir": F.lit(1), "home": F.lit(1), "license": F.lit(1)})
     got = {(r.doc_id, r.license, r.origin, r.license_path) for r in scan_licenses(df).collect()}
-    assert got == {(1, "MIT", "own", "x/LICENSE"), (6, "MIT", "own", "x/LICENSE"), (2, "MIT", "inherited", "x/LICENSE"), (3, "Proprietary", "own", "x/y/b.txt"), (None, "MIT", "inherited", "x/LICENSE")}
+    assert got == {(1, "MIT", "own", "x/LICENSE"), (6, "MIT", "own", "x/LICENSE"), (2, "MIT", "inherited", "x/LICENSE"), (3, "Proprietary", "own", "x/y/b.txt"), (None, "MIT", "inherited", "x/LICENSE"), (None, "Proprietary", "own", "v/LICENSE")}
     assert scan_licenses(df.where("false")).count() == 0
     assert scan_licenses(docs.withColumn("path", F.lit("a/b"))).count() == 0
 

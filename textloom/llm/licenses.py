@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .work import Work, col
 from .words import Hasher, slices
@@ -160,11 +161,12 @@ def scan_licenses(files: DataFrame, path_col: str = "path", id_col: str = "doc_i
         return math.log((1 + total) / (1 + df)) + 1
 
     idf = {t: weight(n.get(i, 0)) for i, t in enumerate(vocabulary.tolist())}
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(rows.dtypes)["doc_id"]]
+    kind = to_arrow_type(rows.schema["doc_id"].dataType)
     own = work.table(rows.mapInArrow(_scanner(terms, idf, weight(1), threshold, kind), f"doc_id {dict(rows.dtypes)['doc_id']}, path string, license string, score double, coverage double"), "own")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     givers = own.where((F.col("coverage") >= whole) | F.col("path").rlike(LICENCE_FILE)).where("path is not null").select(directory.alias("dir"), F.struct((-F.col("score")).alias("s"), "path", "license").alias("g")).groupBy("dir").agg(F.min("g").alias("g"))
-    rest = rows.select("doc_id", "path").where("path is not null").join(own.select("doc_id", "path").distinct(), ["doc_id", "path"], "left_anti").withColumn("home", directory)
+    named = own.select(F.col("doc_id").alias("own_id"), F.col("path").alias("own_path")).distinct()
+    rest = rows.select("doc_id", "path").where("path is not null").join(named, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("path") == F.col("own_path")), "left_anti").withColumn("home", directory)
     parts = F.split("home", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.when(i == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, i), "/")))
     nearest = rest.select("home").distinct().select("home", F.posexplode(above).alias("depth", "dir")).join(givers, "dir").groupBy("home").agg(F.max(F.struct("depth", "g")).alias("m"))
