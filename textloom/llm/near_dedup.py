@@ -150,7 +150,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Of rows that repeat a doc_id the one of least text stays (null texts last). Rows of null doc_id stay.
     """
     found = near_duplicates(docs, id_col, text_col, **params)
-    left = without(docs, id_col, found.where("not keep").select("doc_id"))
+    known = docs.where(col(id_col).isNotNull())  # rows of null id go by, so that they don't meet in one task
+    left = without(known, id_col, found.where("not keep").select("doc_id"))
     turn = fresh(docs, "turn")
-    order = F.row_number().over(Window.partitionBy(col(id_col)).orderBy(F.asc_nulls_last(col(text_col))))
-    return left.withColumn(turn, F.when(col(id_col).isNull(), 1).otherwise(order)).where(F.col(turn) == 1).select(*(col(c) for c in docs.columns))
+    order = Window.partitionBy(col(id_col)).orderBy(F.asc_nulls_last(col(text_col)))
+    one = left.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*(col(c) for c in docs.columns))
+    return one.union(docs.where(col(id_col).isNull()))
