@@ -228,6 +228,15 @@ def test_licenses_against_all_lines(spark, texts):
     assert all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(sorted(got), sorted(want)))
 
 
+def test_licenses_weigh_all_words(spark):
+    rows = [(i, f"d/{i}.txt", "common words in all of them") for i in range(500)] + [(500, "e/a.txt", "Released under the MIT License. common words in all"), (501, "e/b.txt", "Released under the MIT License. quaint words never seen")]
+    got = {r.doc_id: (r.license, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect() if r.origin == "own"}
+    df = Counter(w for _, _, t in rows for w in set(words(t)))
+    v = {w: math.log((1 + len(rows)) / (1 + df[w])) + 1 for w in words(rows[500][2])}
+    cos = math.sqrt(sum(v[w] ** 2 for w in words("Released under the MIT License.")) / sum(x * x for x in v.values()))
+    assert got == {500: ("MIT", round(cos, 6))}
+
+
 def test_near_dedup_against_all_pairs(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     sets = {}

@@ -1,10 +1,11 @@
 """Licence scans: TF-IDF cosine of passages to templates, then inheritance from the nearest directory.
 
 Compared with each template are every line of a text, every paragraph and the whole text. Document
-frequencies of the templates' terms are counted over all documents; a term of no template weighs as one
-that occurs in a single document. A passage can only reach the threshold if it has a term outside a
-template's weakest ones, whose whole weight stays under the threshold (Cauchy-Schwarz); only texts with
-such a term are cut into passages, which loses nothing.
+frequencies of all words are counted over all documents. A passage can only reach the threshold if it
+has a term outside a template's weakest ones, whose whole weight stays under the threshold
+(Cauchy-Schwarz); only texts with such a term are cut into passages, which loses nothing. Words of no
+template only lengthen a passage's vector, each by a weight of 1 at least; passages that would reach the
+threshold at that weight are joined with the frequencies, the others can't reach it.
 """
 
 from __future__ import annotations
@@ -55,27 +56,40 @@ def template_terms(templates=TEMPLATES) -> list[tuple[str, dict]]:
     return [(name, term_counts(h[a:b])) for (name, _), a, b in zip(templates, o[:-1], o[1:], strict=True)]
 
 
-def _frequencies(vocabulary: np.ndarray):
+def _summed(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, with the sum of its counts."""
+    words, at = np.unique(words, return_inverse=True)
+    return words, np.bincount(at, n, len(words)).astype(np.int64)
+
+
+def _frequencies(most: int = 1 << 19):
+    """(word, documents that have it), in parts to be summed; a null word has the number of all documents. Holds about `most` words."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, n, total = Hasher(), np.zeros(len(vocabulary), np.int64), 0
+        hasher, total, words, n = Hasher(), 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        part = lambda w, n: pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
         for batch in batches:
             total += batch.num_rows
             for _, texts in slices(batch.column(0)):
                 h, o = hasher.words(texts)
-                at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                known = np.flatnonzero(vocabulary[at] == h)
-                row = np.searchsorted(o, known, "right") - 1
-                n += np.bincount(np.unique(row * len(vocabulary) + at[known]) % len(vocabulary), minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(vocabulary))], pa.int32()), pa.array([total, *n.tolist()], pa.int64())], names=["i", "n"])
+                order = np.argsort(h, kind="stable")
+                h, row = h[order], np.repeat(np.arange(len(o) - 1), np.diff(o))[order]
+                once = h[np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]]
+                words, n = _summed(np.concatenate([words, once]), np.concatenate([n, np.ones(len(once), np.int64)]))
+                if len(words) > most:
+                    yield part(words.view(np.int64), n)
+                    words, n = words[:0], n[:0]
+        yield part(words.view(np.int64), n)
+        yield part([None], [total])
 
     return count
 
 
 class Scorer:
-    """Cosines of passages to the templates."""
+    """Passages against the templates, as far as the templates' terms go."""
 
-    def __init__(self, templates: list[tuple[str, dict]], idf: dict, other: float, threshold: float):
-        self.idf, self.other, self.threshold = idf, other, threshold
+    def __init__(self, templates: list[tuple[str, dict]], idf: dict, threshold: float):
+        self.idf, self.threshold = idf, threshold
         self.vectors, strong = [], set()
         for name, counts in templates:
             v = {t: c * idf[t] for t, c in counts.items()}
@@ -90,18 +104,24 @@ class Scorer:
                     strong.add(t)
         self.strong = np.array(sorted(strong), np.uint64)
 
-    def best(self, words: np.ndarray) -> tuple[float, str] | None:
-        """The best cosine that reaches the threshold, and its licence; of equals the first by name."""
+    def best(self, words: np.ndarray) -> dict | None:
+        """The template of the best cosine (of equals the first by name), unless that is under the threshold whatever the other words weigh.
+
+        The cosine is dot / sqrt(square + what the other words add); these don't bear on which is best.
+        """
         counts = term_counts(words)
-        v = {t: c * self.idf.get(t, self.other) for t, c in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        if not norm:
+        v = {t: c * self.idf[t] for t, c in counts.items() if t in self.idf}
+        rest = [(t, c) for t, c in counts.items() if t not in self.idf]
+        square = sum(x * x for x in v.values())
+        if not square:
+            return None
+        dot, name = min((-sum(x * v[t] for t, x in vector.items() if t in v), name) for name, vector in self.vectors)
+        if -dot < (self.threshold - 1e-9) * math.sqrt(square + sum(c * c for _, c in rest)):
             return None
-        score, name = min((-sum(x * v[t] for t, x in vector.items() if t in v) / norm, name) for name, vector in self.vectors)
-        return (-score, name) if -score >= self.threshold else None
+        return {"license": name, "dot": -dot, "square": square, "words": [{"word": t - (t >> 63 << 64), "n": c} for t, c in rest]}
 
-    def scan(self, text: str, hasher: Hasher) -> tuple[float, str, float] | None:
-        """(cosine, licence, its passage's share of the words) of a text's best passage."""
+    def scan(self, text: str, hasher: Hasher) -> list[dict]:
+        """A text's passages that may reach the threshold, each with its share of the words."""
         lines = text.splitlines()
         h, o = hasher.words(pa.array(lines))
         marked = np.isin(h, self.strong)
@@ -109,19 +129,17 @@ class Scorer:
         edges = [-1, *blank, len(lines)]
         passages = {(int(o[a + 1]), int(o[b])) for a, b in zip(edges[:-1], edges[1:], strict=True) if a + 1 < b} | {(0, len(h))}
         passages |= {(int(o[i]), int(o[i + 1])) for i in range(len(lines))}
-        found = []
-        for a, b in passages:
-            if a < b and marked[a:b].any() and (best := self.best(h[a:b])):
-                found.append((-best[0], best[1], -(b - a) / len(h)))
-        if not found:
-            return None
-        score, name, share = min(found)
-        return -score, name, -share
+        return [found | {"share": (b - a) / len(h)} for a, b in sorted(passages) if a < b and marked[a:b].any() and (found := self.best(h[a:b]))]
 
 
-def _scanner(templates, idf: dict, other: float, threshold: float, kind: pa.DataType):
+_PASSAGES = "array<struct<license string, dot double, square double, share double, words array<struct<word bigint, n bigint>>>>"
+
+
+def _scanner(templates, idf: dict, threshold: float, kind: pa.DataType):
+    passage = pa.struct([("license", pa.string()), ("dot", pa.float64()), ("square", pa.float64()), ("share", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, scorer = Hasher(), Scorer(templates, idf, other, threshold)
+        hasher, scorer = Hasher(), Scorer(templates, idf, threshold)
         for batch in batches:
             rows = []
             for first, texts in slices(batch.column("text")):
@@ -129,9 +147,9 @@ def _scanner(templates, idf: dict, other: float, threshold: float, kind: pa.Data
                 at = np.minimum(np.searchsorted(scorer.strong, h), len(scorer.strong) - 1)
                 for i in np.unique(np.searchsorted(o, np.flatnonzero(scorer.strong[at] == h), "right") - 1).tolist():
                     if found := scorer.scan(texts[i].as_py(), hasher):
-                        rows.append((batch.column("doc_id")[first + i].as_py(), batch.column("path")[first + i].as_py(), found[1], round(found[0], 6), round(found[2], 6)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "path", "license", "score", "coverage"])
+                        rows.append((batch.column("doc_id")[first + i].as_py(), batch.column("path")[first + i].as_py(), found))
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.string(), pa.list_(passage)), strict=True)], names=["doc_id", "path", "passages"])
 
     return scan
 
@@ -153,16 +171,23 @@ def scan_licenses(files: DataFrame, path_col: str = "path", id_col: str = "doc_i
     work = Work(spark, "licenses")
     rows = files.select(col(id_col).alias("doc_id"), col(path_col).cast("string").alias("path"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     terms = template_terms(templates)
-    vocabulary = np.array(sorted({t for _, counts in terms for t in counts}), np.uint64)
-    n = {r.i: r.n for r in rows.select("text").mapInArrow(_frequencies(vocabulary), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row for each term of the templates
-    total = n.get(-1, 0)
-
-    def weight(df: int) -> float:
-        return math.log((1 + total) / (1 + df)) + 1
-
-    idf = {t: weight(n.get(i, 0)) for i, t in enumerate(vocabulary.tolist())}
+    vocabulary = sorted({t for _, counts in terms for t in counts})
+    frequencies = work.table(rows.select("text").mapInArrow(_frequencies(), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+    signed = np.array(vocabulary, np.uint64).view(np.int64).tolist()
+    n = {r.word: r.n for r in frequencies.where(F.col("word").isNull() | F.col("word").isin(signed)).collect()}  # a row for each term of the templates
+    total = n.get(None, 0)
+    idf = {t: math.log((1 + total) / (1 + n.get(i, 0))) + 1 for t, i in zip(vocabulary, signed, strict=True)}
     kind = to_arrow_type(rows.schema["doc_id"].dataType)
-    own = work.table(rows.mapInArrow(_scanner(terms, idf, weight(1), threshold, kind), f"doc_id {dict(rows.dtypes)['doc_id']}, path string, license string, score double, coverage double"), "own")
+    found = rows.mapInArrow(_scanner(terms, idf, threshold, kind), f"doc_id {dict(rows.dtypes)['doc_id']}, path string, passages {_PASSAGES}")
+    passages = work.table(found.withColumn("row", F.expr("uuid()")), "passages").select("row", "doc_id", "path", F.posexplode("passages").alias("at", "p")).select("row", "doc_id", "path", "at", "p.*")
+    weight = F.log((1 + total) / (1 + F.col("df"))) + 1
+    words = passages.select("row", "at", F.explode("words").alias("w")).select("row", "at", "w.word", F.col("w.n").alias("c")).join(frequencies.select("word", F.col("n").alias("df")), "word")
+    # Summed in the order of the words, so that equal passages get equal scores.
+    more = words.groupBy("row", "at").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("c") * weight).alias("x")))).alias("xs"))
+    more = more.select("row", "at", F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["x"] * x["x"]).alias("more"))
+    scored = passages.join(more, ["row", "at"], "left").withColumn("score", F.col("dot") / F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))).where(F.col("score") >= threshold)
+    best = scored.groupBy("row", "doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", (-F.col("share")).alias("c"))).alias("b"))
+    own = work.table(best.select("doc_id", "path", "b.license", F.round(-F.col("b.s"), 6).alias("score"), F.round(-F.col("b.c"), 6).alias("coverage")), "own")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     givers = own.where((F.col("coverage") >= whole) | F.col("path").rlike(LICENCE_FILE)).where("path is not null").select(directory.alias("dir"), F.struct((-F.col("score")).alias("s"), "path", "license").alias("g")).groupBy("dir").agg(F.min("g").alias("g"))
     named = own.select(F.col("doc_id").alias("own_id"), F.col("path").alias("own_path")).distinct()
