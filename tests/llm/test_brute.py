@@ -156,6 +156,18 @@ def test_passages_against_all_runs(docs, texts):
         assert min(len(a), len(b)) >= 45 and row[-1] / max(len(a), len(b)) >= r.identity - 1e-4 >= 0.74
 
 
+def test_passages_across_seams(spark):
+    rng = random.Random(2)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, n = [], 0
+    for n in range(0, 240, 4):
+        x, y = some(rng.choice((25, 30, 40))), some(rng.choice((25, 30, 40)))
+        for i, mid in enumerate((x, y, x + y, x + y)):  # the parts stand earlier in other documents
+            rows.append((n + i, " ".join(some(60) + mid + some(60))))
+    found = {(r.doc_id, r.other_id) for r in shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i + 3, i + 2) for i in range(0, 240, 4)} <= found
+
+
 def test_flight():
     rng = random.Random(3)
     for n in (0, 1, 2, 3, 50, 400):
