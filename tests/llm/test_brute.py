@@ -168,6 +168,16 @@ def test_passages_across_seams(spark):
     assert {(i + 3, i + 2) for i in range(0, 240, 4)} <= found
 
 
+def test_passages_of_every_copy(spark):
+    rng = random.Random(3)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    x, y = some(55), some(55)
+    rows = [(1, some(30) + x + some(30)), (2, some(20) + x + some(70) + x + some(90) + x), (3, y + some(80) + y + some(60) + y), (4, some(40) + y + some(10))]
+    found = shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.begin_word, r.other_id, r.other_begin_word) for r in found}
+    assert got == {(2, 20, 1, 30), (2, 145, 1, 30), (2, 290, 1, 30), (4, 40, 3, 0), (4, 40, 3, 135), (4, 40, 3, 250)}
+
+
 def test_flight():
     rng = random.Random(3)
     for n in (0, 1, 2, 3, 50, 400):
