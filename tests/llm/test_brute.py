@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -259,6 +260,16 @@ def test_licenses_weigh_all_words(spark):
     assert got == {500: ("MIT", round(cos, 6))}
 
 
+def test_licence_files(spark):
+    whole = {name: text for name, text in licenses.TEMPLATES if name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")}  # the last of each name is whole
+    heads = {"LGPL-3.0": "GNU Lesser", "AGPL-3.0": "GNU Affero"}
+    files = {n: "Copyright (c) 2020, Jane Doe and others\n\n" + textwrap.fill(t, 72) for n, t in whole.items()}
+    files |= {n: textwrap.fill(f"This program is free software: you can redistribute it and/or modify it under the terms of the {g} General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 72) for n, g in heads.items()}
+    rows = [(i, f"{n}/{f}", t) for i, (n, text) in enumerate(files.items()) for f, t in (("LICENSE", text), ("a.txt", "plain"))]
+    got = {(r.path, r.license, r.origin) for r in licenses.scan_licenses(spark.createDataFrame(rows + [(99, "x", "some words")] * 50, "doc_id long, path string, text string")).collect()}
+    assert len(files) == 6 and got == {(f"{n}/{f}", n, o) for n in files for f, o in (("LICENSE", "own"), ("a.txt", "inherited"))}
+
+
 def test_near_dedup_against_all_pairs(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     sets = {}
