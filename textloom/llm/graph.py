@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, work: Work) -> DataFrame:
-    """edges(a, b), both long, not null -> (node, component): the least node it is connected with.
+    """edges(a, b), both of one type that can be ordered, not null -> (node, component): the least node it is connected with.
 
     Only nodes of some edge with a != b appear; repeated and reversed edges count once; no edges, no rows.
     A logarithmic number of rounds, each written to the shared folder.

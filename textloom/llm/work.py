@@ -33,10 +33,10 @@ class Work:
         self.n += 1
         return f"{self.base}/{self.n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written and read back."""
+    def table(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """df, written and read back; options are the writer's."""
         p = self.path(name)
-        df.write.parquet(p)
+        df.write.options(**options).parquet(p)
         out = self.spark.read.schema(df.schema).parquet(p)
         out._textloom_path = p
         return out
@@ -53,9 +53,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def kind_of(df: DataFrame, name: str) -> str:
+    """The type of a column, as DDL."""
+    return df.select(col(name)).schema[0].dataType.simpleString()
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Just (doc_id long, text string), under fixed names, whatever else docs carries."""
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    """Just (doc_id, text string), under fixed names, whatever else docs carries; ids keep their type."""
+    return docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -69,4 +74,4 @@ def fresh(df: DataFrame, stem: str) -> str:
 def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose id isn't in the one column of ids, with their columns; rows of null id stay."""
     gone = fresh(df, "gone")
-    return df.join(ids.toDF(gone), col(id_col).cast("long") == F.col(gone), "left_anti").select(*(col(c) for c in df.columns))
+    return df.join(ids.toDF(gone), col(id_col) == F.col(gone), "left_anti").select(*(col(c) for c in df.columns))
