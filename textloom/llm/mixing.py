@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +63,11 @@ def landing(p: list[float], seed: int) -> list[float]:
 
 
 def _fly(last: bool):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn", "unit"], kind="stable", na_position="first")
-        seed = hash((int(rows.turn.iloc[0]), len(rows), last))
-        p = flight(rows.p.tolist(), rows.tokens.tolist(), seed)
-        return rows.assign(p=landing(p, seed + 1) if last else p)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("turn", "ascending"), ("turn2", "ascending")])
+        seed = hash((rows.column("turn")[0].as_py(), rows.num_rows, last))
+        p = flight(rows.column("p").to_pylist(), rows.column("tokens").to_pylist(), seed)
+        return rows.set_column(rows.schema.get_field_index("p"), rows.schema.field("p"), [pa.array(landing(p, seed + 1) if last else p, pa.float64())])
 
     return run
 
@@ -104,28 +104,34 @@ def sample_sources(docs: DataFrame, weights: dict | None = None, share: float =
 
     Nulls: a null source is a source of its own. A null or empty text has 0 tokens and can be sampled. Rows
     of equal doc_id and source are one unit, in or out together, of the tokens of all of them; so are those
-    of a null doc_id. Sources without tokens aren't sampled. Ties in the random order go by doc_id. An empty
-    table gives no rows. Other columns aren't read. The draw depends on seed, doc_ids and token counts alone,
-    not on how the rows are spread over machines.
+    of a null doc_id. Ids are of any type that can be grouped by. Sources without tokens aren't sampled. Ties
+    in the random order go by a second hash of source and doc_id. An empty table gives no rows. Other
+    columns aren't read. The draw depends on seed, doc_ids and token counts alone, not on how the rows are
+    spread over machines.
     """
     spark = docs.sparkSession
     work = Work(spark, "mixing")
-    units = docs.select(col(id_col).cast("long").alias("unit"), col(source_col).cast("string").alias("source"), token_count(col(text_col).cast("string")).alias("tokens")).groupBy("unit", "source").agg(F.sum("tokens").alias("tokens"))
-    units = work.table(units.withColumn("turn", F.xxhash64(F.lit(seed), F.coalesce("unit", F.lit(-1)), F.coalesce("source", F.lit("")))), "units")
+    units = docs.select(col(id_col).alias("unit"), col(source_col).cast("string").alias("source"), token_count(col(text_col).cast("string")).alias("tokens")).groupBy("unit", "source").agg(F.sum("tokens").alias("tokens"))
+    turns = {n: F.xxhash64(F.lit(seed + i), "unit", F.coalesce("source", F.lit(""))) for i, n in enumerate(("turn", "turn2"))}
+    units = work.table(units.withColumns(turns), "units")
     sums = units.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()  # a row for each source
     p = target_probabilities({r.source: r.tokens for r in sums}, weights, share, power)
     plan = spark.createDataFrame([(r.source, p[r.source], -(-r.n // PIECE)) for r in sums], "s string, p double, pieces long")
-    ready = units.join(F.broadcast(plan) if len(sums) <= 10_000 else plan, F.col("source").eqNullSafe(F.col("s"))).where("p > 0").select("unit", "source", "tokens", "turn", "p", F.col("p").alias("inclusion"), F.pmod("turn", "pieces").alias("piece"))
+    ready = units.join(F.broadcast(plan) if len(sums) <= 10_000 else plan, F.col("source").eqNullSafe(F.col("s"))).where("p > 0").select("unit", "source", "tokens", "turn", "turn2", "p", F.col("p").alias("inclusion"), F.pmod("turn", "pieces").alias("piece"))
     schema = ready.schema
-    flown = work.table(ready.groupBy("source", "piece").applyInPandas(_fly(False), schema), "flown")
+    flown = work.table(ready.groupBy("source", "piece").applyInArrow(_fly(False), schema), "flown")
     is_open = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
-    landed = flown.where(is_open).groupBy("source").applyInPandas(_fly(True), schema)
+    landed = flown.where(is_open).groupBy("source").applyInArrow(_fly(True), schema)
     return flown.where(~is_open).union(landed).where("p > 0.5").select(F.col("unit").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), "inclusion")
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, share: float = 0.5, power: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """The rows of docs whose document `sample_sources` takes, with all their columns."""
+    """The rows of docs whose document `sample_sources` takes, with all their columns.
+
+    Rows of one doc_id and source are taken together, those of a null doc_id too; null and empty texts count
+    as documents of 0 tokens. An empty table gives no rows.
+    """
     unit, origin = fresh(docs, "unit"), fresh(docs, "origin")
     taken = sample_sources(docs, weights, share, power, id_col, text_col, source_col, seed).select("doc_id", "source").toDF(unit, origin)
-    on = col(id_col).cast("long").eqNullSafe(F.col(unit)) & col(source_col).cast("string").eqNullSafe(F.col(origin))
+    on = col(id_col).eqNullSafe(F.col(unit)) & col(source_col).cast("string").eqNullSafe(F.col(origin))
     return docs.join(taken, on, "left_semi").select(*(col(c) for c in docs.columns))
