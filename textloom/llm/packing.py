@@ -98,34 +98,37 @@ def _packer(capacity: int):
     return run
 
 
-def pack_groups(groups: DataFrame, capacity: int, full: float = 0.98) -> DataFrame:
+def pack_groups(groups: DataFrame, capacity: int, full: float = 0.999) -> DataFrame:
     """groups(unit long, size long) -> (unit, size, shard long), shards numbered from 0.
 
-    Groups are spread over lanes of about LANE groups by a hash, and each lane is packed by itself; the
-    groups of a lane's bins that are less than `full` go on to the next round, with fewer lanes, until one
-    lane is left. All but a lane's last bins come out full, so what is left shrinks fast.
+    Groups are spread over lanes of about LANE groups by a hash, and each lane is packed by itself, in a
+    task of its own. A lane's bins are settled if they are `full` or no group that is left fits into them;
+    the groups of the others are packed again, in fewer lanes of that size, as long as each round halves
+    them. Those that are left then keep the bins they have.
     """
     spark = groups.sparkSession
     work = Work(spark, "packing")
     now, done, level = work.table(groups, "groups"), [], 0
-    n = now.count()
-    while True:
-        lanes = max(1, -(-n // LANE))
+    n, least = now.agg(F.count("*"), F.min("size")).first()
+    while n:
+        lanes = -(-n // LANE)
         laned = now.withColumn("lane", F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(lanes)).cast("long"))
-        packed = work.table(laned.groupBy("lane").applyInPandas(_packer(capacity), "unit long, size long, lane long, bin long"), "packed")
-        used = packed.groupBy("lane", "bin").agg(F.sum("size").alias("used"))
-        settled = used if lanes == 1 else used.where(F.col("used") >= int(full * capacity))
-        done.append(packed.join(settled.select("lane", "bin"), ["lane", "bin"]).select("unit", "size", F.lit(level).alias("level"), "lane", "bin"))
-        if lanes == 1:
+        packed = work.table(laned.repartition(lanes, "lane").groupBy("lane").applyInPandas(_packer(capacity), "unit long, size long, lane long, bin long"), "packed")
+        used = packed.groupBy("lane", "bin").agg(F.sum("size").alias("used"), F.count("*").alias("n"))
+        is_open = (F.col("used") < full * capacity) & (F.col("used") + least <= capacity)
+        left = used.where(is_open).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if lanes > 1 else 0
+        if not left or left * 2 > n:
+            done.append(packed.withColumn("level", F.lit(level)))
             break
-        rest = work.table(packed.join(settled.select("lane", "bin"), ["lane", "bin"], "left_anti").select("unit", "size"), "rest")
-        left = rest.count()
-        if not left:
-            break
-        now, n, level = rest, left if left < n else 1, level + 1  # a round that settled nothing is the last
-    out = done[0]
+        open_ = used.where(is_open).select("lane", "bin")
+        done.append(packed.join(open_, ["lane", "bin"], "left_anti").withColumn("level", F.lit(level)))
+        now = work.table(packed.join(open_, ["lane", "bin"]).select("unit", "size"), "rest")
+        n, least, level = left, now.agg(F.min("size")).first()[0], level + 1
+    if not done:
+        return now.select("unit", "size", F.lit(0).cast("long").alias("shard"))
+    out = done[0].select("unit", "size", "level", "lane", "bin")
     for more in done[1:]:
-        out = out.union(more)
+        out = out.union(more.select("unit", "size", "level", "lane", "bin"))
     bins = work.table(out.select("level", "lane", "bin").distinct(), "bins")
     per = bins.groupBy("level", "lane").agg(F.max("bin").alias("m")).collect()  # a row for each lane
     base, at = [], 0
