@@ -12,16 +12,19 @@ first, and ceil(m / 512) u32 of directory. An empty text has no level.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import col
+from .work import col, kind_of
 from .words import slices
 
 BLOCK = 512
@@ -89,15 +92,41 @@ def decode(code: bytes) -> np.ndarray:
     return out
 
 
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_TAIL = r"|\s+(?!\S)|\s+"
+LONG = 100_000  # white space from which the pre-tokenizer isn't asked: its stack is limited
+
+
 def tokenizer(ranks_path: str, pattern: str):
-    """A function from a text to its ids."""
+    """A function from a text to its ids.
+
+    A pattern that ends in the usual `\\s+(?!\\S)|\\s+` makes one piece of a run of white space, or of all but its
+    last character if more text follows; so long runs are cut out beforehand, with the same ids. With other
+    patterns a run of a million white-space characters may fail.
+    """
     import base64
 
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    coding = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    if not pattern.endswith(_TAIL):
+        return coding.encode_ordinary
+    long_run = re.compile(f"{_SPACE}{{{LONG},}}")
+
+    def ids_of(text: str) -> list[int]:
+        if len(text) < LONG:
+            return coding.encode_ordinary(text)
+        out, at = [], 0
+        for m in long_run.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += coding.encode_ordinary(text[at : m.start()])
+            out += coding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + coding.encode_ordinary(text[at:])
+
+    return ids_of
 
 
 def _coder(ranks_path: str, pattern: str, bits: int):
@@ -122,11 +151,51 @@ def token_codes(docs: DataFrame, ranks_path: str, pattern: str, bits: int = 8, i
     its pre-tokenizer. Strings that look like special tokens are ordinary text.
 
     Nulls: a null text gives null n_tokens and codes; an empty one 0 tokens and a code without levels. A null
-    doc_id keeps its row, repeated rows each get one. An empty table gives no rows. Texts are coded
-    whole; one code holds fewer than 2 ** 32 tokens. Other columns aren't read.
+    doc_id keeps its row, repeated rows each get one; ids keep their type. An empty table gives no rows. Texts
+    are coded whole, white space of any length included; one code holds fewer than 2 ** 31 tokens. Other
+    columns aren't read.
     """
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_coder(ranks_path, pattern, bits), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens int, codes binary")
+    return rows.mapInArrow(_coder(ranks_path, pattern, bits), f"doc_id {kind_of(rows, 'doc_id')}, n_tokens int, codes binary")
+
+
+def _file_writer(base: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        files, root = pafs.FileSystem.from_uri(base)
+        files.create_dir(root, recursive=True)
+        part, draft = f"part-{task.partitionId():06d}.codes", f".draft-{task.partitionId()}-{task.taskAttemptId()}"
+        at, rows = 0, []
+        with files.open_output_stream(f"{root}/{draft}", compression=None) as out:
+            for batch in batches:
+                sizes = []
+                for code in batch.column("codes").to_pylist():
+                    sizes.append(None if code is None else len(code))
+                    out.write(code or b"")
+                ends = at + np.cumsum([n or 0 for n in sizes], dtype=np.int64)
+                begins = pa.array(ends - [n or 0 for n in sizes], pa.int64(), mask=np.array([n is None for n in sizes], bool))
+                at = int(ends[-1]) if len(ends) else at
+                rows.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([f"{base}/{part}"] * len(sizes), pa.string()), begins, pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens", "path", "begin", "bytes"]))
+        files.move(f"{root}/{draft}", f"{root}/{part}")  # only whole files get their name, however often a task is run
+        yield from rows
+
+    return write
+
+
+def write_codes(codes: DataFrame, base: str) -> DataFrame:
+    """Writes the codes of `token_codes` one after another to binary files under base, a file a partition; lazily.
+
+    Rows: doc_id, n_tokens, path, begin, bytes: where each document's code lies. A null code has null begin
+    and bytes. An empty partition leaves an empty file. base is a URI that all machines can write to.
+    """
+    return codes.mapInArrow(_file_writer(base), f"doc_id {kind_of(codes, 'doc_id')}, n_tokens int, path string, begin long, bytes long")
+
+
+def read_token(path: str, begin: int, size: int, i: int) -> int:
+    """Token i of the code at a place of a file that `write_codes` made."""
+    files, at = pafs.FileSystem.from_uri(path)
+    with files.open_input_file(at) as f:
+        return access(f.read_at(size, begin), i)
 
 
 def token_at(codes: Column, place: Column) -> Column:
