@@ -33,6 +33,16 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def verified(said: str | None, data: bytes) -> bool | None:
+    """Whether a digest field, of md5 or of the sha family, in base 32 or hexadecimal, is that of data; null if it can't be told."""
+    kind, _, value = (said or "").partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    made, value = hashlib.new(kind, data), value.strip()
+    return value.lower() == made.hexdigest() if len(value) == 2 * made.digest_size else value.upper().rstrip("=") == base64.b32encode(made.digest()).decode().rstrip("=")
+
+
 def make_record(page_id: int | None, url: str | None, body: bytes, date: str) -> bytes:
     """A response record. Line breaks inside the URL are percent-encoded."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
@@ -67,7 +77,7 @@ def parse_record(raw: bytes, path: str, offset: int) -> tuple:
         said = re.match(rb"HTTP/\d(?:\.\d)? (\d{3})", block)
         if said and body >= 0:
             status, payload = int(said[1]), block[body + 4 :]
-    checks = [fields[k] == digest(v) for k, v in (("warc-payload-digest", payload), ("warc-block-digest", block)) if fields.get(k, "").startswith("sha1:")]
+    checks = [ok for k, v in (("warc-payload-digest", payload), ("warc-block-digest", block)) if (ok := verified(fields.get(k), v)) is not None]
     page = fields.get("x-page-id", "")
     return (path, offset, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), int(page) if re.fullmatch(r"-?\d{1,18}|-?[0-8]\d{18}", page) else None, status, payload, length_ok, all(checks) if checks else None, None if length_ok else "wrong length")
 
@@ -146,16 +156,17 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """Records of gzipped WARC files named by the first column of paths (URIs that all machines can open), a task a file.
+    """Records of gzipped WARC files named by the first column of paths (URIs that all machines can open), about a task a file.
 
     Rows: path, offset of the member, warc_type, record_id, url, date, page_id, status, payload, length_ok
-    (block and trailer have the lengths declared), digest_ok (null without a sha1 digest), error. A damaged
+    (block and trailer have the lengths declared), digest_ok (null without a digest of a known kind), error. A damaged
     or truncated member gives a row that says so, and reading goes on at the next member. Null paths are
     left out; an empty file or table gives no rows; a file named twice is read twice.
     """
     uris = paths.select(F.col(f"`{paths.columns[0]}`").alias("path")).where("path is not null")
-    n = max(1, min(uris.count(), 100_000))
-    return uris.repartition(n, "path").mapInArrow(_reader, _RECORDS)
+    # Ranges of row numbers, as hashes of the paths would put several files into one task and none into another.
+    numbered = uris.withColumn("i", F.monotonically_increasing_id()).repartitionByRange(max(1, uris.count()), "i")
+    return numbered.select("path").mapInArrow(_reader, _RECORDS)
 
 
 def _writer(base: str, date: str):
