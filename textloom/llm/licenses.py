@@ -1,17 +1,19 @@
 """Licence scans: TF-IDF cosine of passages to templates, then inheritance from the nearest directory.
 
-Compared with each template are every line of a text, every paragraph and the whole text. Document
-frequencies of all words are counted over all documents. A passage can only reach the threshold if it
-has a term outside a template's weakest ones, whose whole weight stays under the threshold
-(Cauchy-Schwarz); only texts with such a term are cut into passages, which loses nothing. Words of no
-template only lengthen a passage's vector, each by a weight of 1 at least; passages that would reach the
-threshold at that weight are joined with the frequencies, the others can't reach it.
+Compared with each template are every line of a text, every paragraph and the whole text. A word that
+occurs c times weighs (1 + log c) * idf; document frequencies of all words are counted over all documents.
+The cosine of a passage is at most the norm of the part of the template whose words the passage has
+(Cauchy-Schwarz); only texts, and of these only passages, where that reaches the threshold are weighed,
+which loses nothing. Words of no template only lengthen a passage's vector, each by a weight of 1 at
+least; passages that would reach the threshold at that weight are joined with the frequencies, the
+others can't reach it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .work import Work, col
+from .work import Work, col, kind_of
 from .words import Hasher, slices
 
+#: (licence, text): notices and headers, then whole texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -51,7 +54,9 @@ TEMPLATES = (
     ("AGPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
     ("MPL-2.0", 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.'),
     ("EPL-2.0", 'This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/'),
+    *((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
 )
+LAST_RESORT = ("Proprietary",)  # given only where no other template is reached
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)[^/]*$"
 
 
@@ -61,7 +66,7 @@ def term_counts(words: np.ndarray) -> dict:
 
 def template_terms(templates=TEMPLATES) -> list[tuple[str, dict]]:
     """(licence, {word hash: count}) of each template."""
-    h, o = Hasher().words(pa.array([t for _, t in templates]))
+    h, o = Hasher().words(pa.array([t for _, t in templates], pa.string()))
     return [(name, term_counts(h[a:b])) for (name, _), a, b in zip(templates, o[:-1], o[1:], strict=True)]
 
 
@@ -98,54 +103,86 @@ class Scorer:
     """Passages against the templates, as far as the templates' terms go."""
 
     def __init__(self, templates: list[tuple[str, dict]], idf: dict, threshold: float):
-        self.idf, self.threshold = idf, threshold
-        self.vectors, strong = [], set()
+        self.idf, self.threshold, self.least = idf, threshold, (threshold - 1e-9) ** 2
+        self.templates, self.having, shares = [], {}, []
         for name, counts in templates:
-            v = {t: c * idf[t] for t, c in counts.items()}
+            v = {t: (1 + math.log(c)) * idf[t] for t, c in counts.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             if not norm:
                 continue
-            self.vectors.append((name, {t: x / norm for t, x in v.items()}))
-            weak = 0.0
+            for t, x in v.items():
+                self.having.setdefault(t, []).append((len(self.templates), x / norm))
+            self.templates.append((name, norm))
+            # A template's weakest terms are taken for granted: up to half of what the threshold needs.
+            weak, strong = 0.0, {}
             for t, x in sorted(v.items(), key=lambda p: (p[1], p[0])):
-                weak += (x / norm) ** 2
-                if weak >= (threshold - 1e-9) ** 2:
-                    strong.add(t)
-        self.strong = np.array(sorted(strong), np.uint64)
+                if weak + (x / norm) ** 2 <= self.least / 2:
+                    weak += (x / norm) ** 2
+                else:
+                    strong[t] = (x / norm) ** 2
+            shares.append((weak, strong))
+        self.strong = np.array(sorted({t for _, strong in shares for t in strong}), np.uint64)
+        self.weak = np.array([weak for weak, _ in shares])
+        self.share = np.array([[strong.get(t, 0.0) for _, strong in shares] for t in self.strong.tolist()]).reshape(len(self.strong), len(shares))
+
+    def marked(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of strong terms, which terms)."""
+        at = np.minimum(np.searchsorted(self.strong, words), len(self.strong) - 1)
+        place = np.flatnonzero(self.strong[at] == words)
+        return place, at[place]
+
+    def may_reach(self, row: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Which rows (ascending) have strong terms enough for some template."""
+        each = np.unique(row * len(self.strong) + term)
+        row, term = np.divmod(each, len(self.strong))
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+        if not len(first):
+            return first
+        return row[first][(np.add.reduceat(self.share[term], first) + self.weak >= self.least - 1e-9).any(1)]
 
     def best(self, words: np.ndarray) -> dict | None:
         """The template of the best cosine (of equals the first by name), unless that is under the threshold whatever the other words weigh.
 
         The cosine is dot / sqrt(square + what the other words add); these don't bear on which is best.
         """
-        counts = term_counts(words)
-        v = {t: c * self.idf[t] for t, c in counts.items() if t in self.idf}
-        rest = [(t, c) for t, c in counts.items() if t not in self.idf]
-        square = sum(x * x for x in v.values())
-        if not square:
+        square, others, dots, rest = 0.0, 0.0, [0.0] * len(self.templates), []
+        for t, c in term_counts(words).items():
+            tf = 1 + math.log(c)
+            if t in self.having:
+                x = tf * self.idf[t]
+                square += x * x
+                for i, y in self.having[t]:
+                    dots[i] += x * y
+            else:
+                others += tf * tf
+                rest.append((t, c))
+        dot, name, i = min((-dot, self.templates[i][0], i) for i, dot in enumerate(dots))
+        if not square or -dot < (self.threshold - 1e-9) * math.sqrt(square + others):
             return None
-        dot, name = min((-sum(x * v[t] for t, x in vector.items() if t in v), name) for name, vector in self.vectors)
-        if -dot < (self.threshold - 1e-9) * math.sqrt(square + sum(c * c for _, c in rest)):
-            return None
-        return {"license": name, "dot": -dot, "square": square, "words": [{"word": t - (t >> 63 << 64), "n": c} for t, c in rest]}
+        return {"license": name, "norm": self.templates[i][1], "dot": -dot, "square": square, "words": [{"word": t - (t >> 63 << 64), "n": c} for t, c in rest]}
 
     def scan(self, text: str, hasher: Hasher) -> list[dict]:
         """A text's passages that may reach the threshold, each with its share of the words."""
         lines = text.splitlines()
         h, o = hasher.words(pa.array(lines))
-        marked = np.isin(h, self.strong)
         blank = [i for i, line in enumerate(lines) if not line.strip()]
         edges = [-1, *blank, len(lines)]
         passages = {(int(o[a + 1]), int(o[b])) for a, b in zip(edges[:-1], edges[1:], strict=True) if a + 1 < b} | {(0, len(h))}
         passages |= {(int(o[i]), int(o[i + 1])) for i in range(len(lines))}
-        return [found | {"share": (b - a) / len(h)} for a, b in sorted(passages) if a < b and marked[a:b].any() and (found := self.best(h[a:b]))]
+        place, term = self.marked(h)
+        out = []
+        for a, b in sorted(passages):
+            i, j = np.searchsorted(place, (a, b))
+            if i < j and len(self.may_reach(np.zeros(j - i, np.int64), term[i:j])) and (found := self.best(h[a:b])):
+                out.append(found | {"share": (b - a) / len(h)})
+        return out
 
 
-_PASSAGES = "array<struct<license string, dot double, square double, share double, words array<struct<word bigint, n bigint>>>>"
+_PASSAGES = "array<struct<license string, norm double, dot double, square double, share double, words array<struct<word bigint, n bigint>>>>"
 
 
 def _scanner(templates, idf: dict, threshold: float, kind: pa.DataType):
-    passage = pa.struct([("license", pa.string()), ("dot", pa.float64()), ("square", pa.float64()), ("share", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))])
+    passage = pa.struct([("license", pa.string()), ("norm", pa.float64()), ("dot", pa.float64()), ("square", pa.float64()), ("share", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, scorer = Hasher(), Scorer(templates, idf, threshold)
@@ -153,8 +190,8 @@ def _scanner(templates, idf: dict, threshold: float, kind: pa.DataType):
             rows = []
             for first, texts in slices(batch.column("text")):
                 h, o = hasher.words(texts)
-                at = np.minimum(np.searchsorted(scorer.strong, h), len(scorer.strong) - 1)
-                for i in np.unique(np.searchsorted(o, np.flatnonzero(scorer.strong[at] == h), "right") - 1).tolist():
+                place, term = scorer.marked(h)
+                for i in scorer.may_reach(np.searchsorted(o, place, "right") - 1, term).tolist():
                     if found := scorer.scan(texts[i].as_py(), hasher):
                         rows.append((batch.column("doc_id")[first + i].as_py(), batch.column("path")[first + i].as_py(), found))
             cols = list(zip(*rows, strict=True)) or [()] * 3
@@ -163,39 +200,45 @@ def _scanner(templates, idf: dict, threshold: float, kind: pa.DataType):
     return scan
 
 
-def scan_licenses(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, whole: float = 0.5, templates=TEMPLATES) -> DataFrame:
+def scan_licenses(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, whole: float = 0.5, templates=TEMPLATES, last_resort=LAST_RESORT) -> DataFrame:
     """(doc_id, path, license, score, origin, license_path): files that have a licence, their own or their directory's.
 
-    Own: the best template that a line, a paragraph or the whole text comes to within the threshold of;
-    of equals the first by name. A file is a licence file if it has a licence and is named like one
-    (LICENSE, COPYING, ...) or the passage is at least the share `whole` of its words. A file without its
-    own gets the licence of the nearest ancestor directory with a licence file (of several there, the
-    highest score, then the first path); origin says own or inherited, license_path whose it is.
+    Own: each line, each paragraph and the whole text has its best template, of equals the first by name. Of
+    those whose cosine comes to the threshold the weightiest is taken: the highest cosine times norm of the
+    template, of equals the first by name; licences of `last_resort` only if there is no other. A file is a
+    licence file if it has a licence and is named like one (LICENSE, COPYING, ...) or the passage is at least
+    the share `whole` of its words. A file without its own gets the licence of the nearest ancestor directory
+    with a licence file (of several there, the highest score, then the first path); origin says own or
+    inherited, license_path whose it is.
 
     Nulls: a null or empty text has no licence of its own; a null path has no directory, so it neither
-    gives nor inherits. A null doc_id keeps its row. Repeated rows each get a row. An empty table gives no rows.
-    Other columns aren't read.
+    gives nor inherits. A null doc_id keeps its row; ids keep their type. Repeated rows each get a row. An
+    empty table, and no templates or none with a word, give no rows. Other columns aren't read.
     """
     spark = files.sparkSession
     work = Work(spark, "licenses")
     rows = files.select(col(id_col).alias("doc_id"), col(path_col).cast("string").alias("path"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     terms = template_terms(templates)
     vocabulary = sorted({t for _, counts in terms for t in counts})
+    if not vocabulary:
+        text = [F.lit("").alias(c) for c in ("license", "origin", "license_path")]
+        return rows.where("false").select("doc_id", "path", text[0], F.lit(0.0).alias("score"), *text[1:])
     frequencies = work.table(rows.select("text").mapInArrow(_frequencies(), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
     signed = np.array(vocabulary, np.uint64).view(np.int64).tolist()
     n = {r.word: r.n for r in frequencies.where(F.col("word").isNull() | F.col("word").isin(signed)).collect()}  # a row for each term of the templates
     total = n.get(None, 0)
     idf = {t: math.log((1 + total) / (1 + n.get(i, 0))) + 1 for t, i in zip(vocabulary, signed, strict=True)}
     kind = to_arrow_type(rows.schema["doc_id"].dataType)
-    found = rows.mapInArrow(_scanner(terms, idf, threshold, kind), f"doc_id {dict(rows.dtypes)['doc_id']}, path string, passages {_PASSAGES}")
+    found = rows.mapInArrow(_scanner(terms, idf, threshold, kind), f"doc_id {kind_of(rows, 'doc_id')}, path string, passages {_PASSAGES}")
     passages = work.table(found.withColumn("row", F.expr("uuid()")), "passages").select("row", "doc_id", "path", F.posexplode("passages").alias("at", "p")).select("row", "doc_id", "path", "at", "p.*")
-    weight = F.log((1 + total) / (1 + F.col("df"))) + 1
+    weight = (1 + F.log("c")) * (F.log((1 + total) / (1 + F.col("df"))) + 1)
     words = passages.select("row", "at", F.explode("words").alias("w")).select("row", "at", "w.word", F.col("w.n").alias("c")).join(frequencies.select("word", F.col("n").alias("df")), "word")
     # Summed in the order of the words, so that equal passages get equal scores.
-    more = words.groupBy("row", "at").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("c") * weight).alias("x")))).alias("xs"))
+    more = words.groupBy("row", "at").agg(F.sort_array(F.collect_list(F.struct("word", weight.alias("x")))).alias("xs"))
     more = more.select("row", "at", F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["x"] * x["x"]).alias("more"))
     scored = passages.join(more, ["row", "at"], "left").withColumn("score", F.col("dot") / F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))).where(F.col("score") >= threshold)
-    best = scored.groupBy("row", "doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", (-F.col("share")).alias("c"))).alias("b"))
+    rank = F.struct(F.col("license").isin(list(last_resort)).alias("last"), (-F.round(F.col("score") * F.col("norm"), 6)).alias("mass"), "license", (-F.col("score")).alias("s"), (-F.col("share")).alias("c"))
+    best = scored.groupBy("row", "doc_id", "path").agg(F.min(rank).alias("b"))
     own = work.table(best.select("doc_id", "path", "b.license", F.round(-F.col("b.s"), 6).alias("score"), F.round(-F.col("b.c"), 6).alias("coverage")), "own")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     givers = own.where((F.col("coverage") >= whole) | F.col("path").rlike(LICENCE_FILE)).where("path is not null").select(directory.alias("dir"), F.struct((-F.col("score")).alias("s"), "path", "license").alias("g")).groupBy("dir").agg(F.min("g").alias("g"))
