@@ -22,7 +22,7 @@ def rows(df):
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, name):
-    if name.startswith("op") or name == "pipeline":
+    if name.startswith("op") or name == "pipeline":  # in tests/llm
         pytest.skip("tested apart")
     df = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql().get(name)

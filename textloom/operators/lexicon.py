@@ -42,3 +42,8 @@ def with_suffixes(keywords: DataFrame, exact: Sequence[str] = ()) -> DataFrame:
     if exact:
         some = some.where(~F.col("keyword").isin(*exact) | (F.col("ending") == ""))
     return some.select("keyword", F.concat("keyword", "ending").alias("form")).distinct()
+
+
+def sized(dim: DataFrame, most: int = 100_000) -> DataFrame:
+    """dim, to be broadcast if it has at most `most` rows; otherwise Spark chooses the join."""
+    return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim

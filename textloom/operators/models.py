@@ -2,54 +2,94 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_output
 
+log = logging.getLogger(__name__)
+
+
+LOAD_FAILED = "Model load failed"
+
+
+def _answers(model: Callable, texts: list[str]) -> list:
+    """The model's answers; one for each text, or a ValueError."""
+    got = list(model(texts))
+    if len(got) != len(texts):
+        raise ValueError(f"{len(got)} answers to {len(texts)} texts")
+    return got
+
 
 def classify(posts: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], text_col: str = "clean_text", batch: int = 16) -> DataFrame:
-    """posts with raw_output, pred_label and llm_reasoning. load makes the model once a task; if it fails, every row is "no"
-    with the reason; a failing batch only marks its own rows."""
+    """posts with raw_output, pred_label and llm_reasoning.
 
-    @F.pandas_udf("string")
-    def generate(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, why = None, ""
+    load makes the model once a task. If it fails, every row is "no"; if a batch fails, or gets too few or too
+    many answers, that batch's rows are. Their raw_output is empty, the reasoning says what happened, and no
+    error text is ever read as a model's answer. A blank answer counts as [EMPTY_OUTPUT].
+    """
+
+    @F.pandas_udf("raw string, why string")
+    def generate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = None
         try:
             model = load()
-        except Exception as e:
-            why = f"Model not available: {e}"
+        except Exception:
+            log.exception("no model")
         for texts in parts:
-            out: list[str] = []
+            out: list[tuple[str, str | None]] = []
             for at in range(0, len(texts), batch):
                 some = ["" if t is None else t for t in texts.iloc[at : at + batch].tolist()]
                 if model is None:
-                    out += [why] * len(some)
+                    out += [("", LOAD_FAILED)] * len(some)
                     continue
                 try:
-                    out += model(some)
+                    out += [(str(x).strip() or "[EMPTY_OUTPUT]" if x is not None else "[EMPTY_OUTPUT]", None) for x in _answers(model, some)]
                 except Exception as e:
-                    out += [f"Batch failed: {e}"] * len(some)
-            yield pd.Series(out, index=texts.index, dtype="object")
+                    out += [("", f"Postprocessing failed: {e}")] * len(some)
+            yield pd.DataFrame(out, columns=["raw", "why"], index=texts.index).astype("object")
+
+    made, parsed = fresh_name(posts, "made"), fresh_name(posts, "parsed")
+    scored = posts.withColumn(made, generate(F.col(text_col)))
+    read = scored.withColumn(parsed, F.when(F.col(made)["why"].isNull(), parse_output(F.col(made)["raw"])))
+    out = {"raw_output": F.col(made)["raw"], "pred_label": F.coalesce(F.col(parsed)["label"], F.lit("no")), "llm_reasoning": F.coalesce(F.col(made)["why"], F.col(parsed)["reasoning"])}
+    return read.withColumns(out).drop(made, parsed)
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    while stem in df.columns:
+        stem += "_"
+    return stem
+
 
-    scored = posts.withColumn("raw_output", generate(F.col(text_col)))
-    parsed = parse_output(F.col("raw_output"))
-    return scored.withColumn("parsed", parsed).withColumns({"pred_label": F.col("parsed.label"), "llm_reasoning": F.col("parsed.reasoning")}).drop("parsed")
+def classify_one(spark: SparkSession, text: str, load: Callable, subreddit: str = "unknown", post_id: str = "unknown") -> dict:
+    """One post by the same contract, as a dict."""
+    one = spark.createDataFrame([(post_id, subreddit, text)], "id string, subreddit string, clean_text string")
+    return classify(one, load).first().asDict()
 
 
 def emotions(text: Column, load: Callable[[], Callable[[list[str]], list[list[tuple[str, float]]]]], batch: int = 32) -> Column:
-    """All (label, score) of each text, highest first; a blank text has none."""
+    """All (label, score) of each text, highest first; a blank text has none, and one whose batch failed is null."""
 
     @F.pandas_udf("array<struct<label:string,score:double>>")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in parts:
             real = [t for t in texts if t is not None and t.strip()]
-            got = iter([x for at in range(0, len(real), batch) for x in model(real[at : at + batch])])
-            yield pd.Series([sorted(({"label": a, "score": float(b)} for a, b in next(got)), key=lambda d: (-d["score"], d["label"])) if t is not None and t.strip() else [] for t in texts], index=texts.index, dtype="object")
+            got: list = []
+            for at in range(0, len(real), batch):
+                some = real[at : at + batch]
+                try:
+                    got += [sorted(({"label": a, "score": float(b)} for a, b in x), key=lambda d: (-d["score"], d["label"])) for x in _answers(model, some)]
+                except Exception:
+                    log.exception("a batch failed")
+                    got += [None] * len(some)
+            found = iter(got)
+            yield pd.Series([next(found) if t is not None and t.strip() else [] for t in texts], index=texts.index, dtype="object")
 
     return score(text)
 
@@ -71,10 +111,26 @@ def label_distribution(df: DataFrame, label: str = "pred_label") -> DataFrame:
     return share_of_total(df.groupBy(label).agg(F.count("*").alias("cnt")))
 
 
+def _parted(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
+    return df.where(F.coalesce(ok, F.lit(False))), df.where(~F.coalesce(ok, F.lit(False)))
+
+
 def valid_classifications(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantined): a record needs id, subreddit, text and a label of yes or no."""
-    ok = F.col("id").isNotNull() & F.col("subreddit").isNotNull() & F.col("clean_text").isNotNull() & F.col("pred_label").isin("yes", "no")
-    return df.where(F.coalesce(ok, F.lit(False))), df.where(~F.coalesce(ok, F.lit(False)))
+    return _parted(df, F.col("id").isNotNull() & F.col("subreddit").isNotNull() & F.col("clean_text").isNotNull() & F.col("pred_label").isin("yes", "no"))
+
+
+def valid_filtered(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, quarantined) after the strict stage: a record needs id, subreddit, both texts and both lists; the group may be null."""
+    ok = F.lit(True)
+    for c in ("id", "subreddit", "clean_text", "clean_text_lc", "matched_bias_types", "matched_keywords"):
+        ok = ok & F.col(c).isNotNull()
+    return _parted(df, ok)
+
+
+def non_blank(df: DataFrame, text_col: str = "clean_text") -> DataFrame:
+    """Rows whose text has something but white space."""
+    return df.where(F.col(text_col).rlike(r"\S"))
 
 
 def suggested_batch(free_gb: float, per_item_gb: float = 0.5, most: int = 32) -> int:

@@ -66,36 +66,62 @@ def anova(df: DataFrame, group: str, columns: Sequence[str]) -> list[tuple[str,
     return out
 
 
-def manova(df: DataFrame, group: str, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float, float]]:
-    """By name of the statistic: (value, F, numerator df, denominator df, p), of the hypothesis that all group means are equal."""
+def multivariate_tests(roots: Sequence[float], p: int, q: int, v: float) -> dict[str, tuple[float, float, float, float, float]]:
+    """By name of the statistic: (value, F, numerator df, denominator df, p). roots: eigenvalues of E^-1 H; p: variables; q: df of the hypothesis; v: df of the error.
+
+    Rao's F for Wilks' lambda; McKeon's for the Hotelling-Lawley trace where v > p + 1; an upper bound for Roy's root.
+    """
+    ev = np.clip(np.asarray(roots, float), 0, None)
+    s, m, n = min(p, q), (abs(p - q) - 1) / 2, (v - p - 1) / 2
+    wilks, pillai, hotelling, roy = float(np.prod(1 / (1 + ev))), float(np.sum(ev / (1 + ev))), float(np.sum(ev)), float(ev.max())
+    t = math.sqrt((p * p * q * q - 4) / (p * p + q * q - 5)) if p * p + q * q > 5 else 1.0
+    d1, d2 = p * q, (v - (p - q + 1) / 2) * t - (p * q - 2) / 2
+    root = wilks ** (1 / t)
+    rows = [("Wilks' lambda", wilks, (1 - root) / root * d2 / d1, d1, d2)]
+    a, b = s * (2 * m + s + 1), s * (2 * n + s + 1)
+    rows.append(("Pillai's trace", pillai, b / a * pillai / (s - pillai), a, b))
+    if n > 1:
+        ratio = (p + 2 * n) * (q + 2 * n) / (2 * (2 * n + 1) * (n - 1))
+        a, b = p * q, 4 + (p * q + 2) / (ratio - 1)
+        rows.append(("Hotelling-Lawley trace", hotelling, b / a * hotelling * 2 * n / (b - 2), a, b))
+    else:
+        a, b = s * (2 * m + s + 1), 2 * (s * n + 1)
+        rows.append(("Hotelling-Lawley trace", hotelling, b / a * hotelling / s, a, b))
+    a, b = max(p, q), v - max(p, q) + q
+    rows.append(("Roy's greatest root", roy, b / a * roy, a, b))
+    return {name: (value, float(f), float(a), float(b), f_tail(float(f), a, b)) for name, value, f, a, b in rows}
+
+
+def _sums(df: DataFrame, group: str, columns: Sequence[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups in order, counts, sums by group, sums of products): one aggregate, a row for each group."""
     p = len(columns)
     rows = df.dropna(subset=[group, *columns])
     aggs = [F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)] + [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
-    got = rows.groupBy(group).agg(F.count("*").alias("n"), *aggs).collect()  # a row for each group
-    n, sums = np.array([r.n for r in got], float), np.array([[r[f"s{i}"] for i in range(p)] for r in got])
+    got = sorted(rows.groupBy(group).agg(F.count("*").alias("n"), *aggs).collect(), key=lambda r: r[group])
     raw = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
             raw[i, j] = raw[j, i] = sum(r[f"q{i}_{j}"] for r in got)
+    return [r[group] for r in got], np.array([r.n for r in got], float), np.array([[r[f"s{i}"] for i in range(p)] for r in got]), raw
+
+
+def manova_effects(df: DataFrame, group: str, columns: Sequence[str]) -> dict[str, dict[str, tuple[float, float, float, float, float]]]:
+    """The four tests of each effect: Intercept, that the means of the first group (in order) are zero, and `group`, that all groups' means are equal.
+
+    Rows with a null in group or columns are left out.
+    """
+    p = len(columns)
+    names, n, sums, raw = _sums(df, group, columns)
     per = (sums.T / n) @ sums
     total = sums.sum(0)
-    e, h = raw - per, per - np.outer(total, total) / n.sum()
-    q, v = len(got) - 1, n.sum() - len(got)
-    ev = np.clip(np.linalg.eigvals(np.linalg.solve(e, h)).real, 0, None)
-    s, m, u = min(p, q), (abs(p - q) - 1) / 2, (v - p - 1) / 2
-    wilks, pillai, hotelling, roy = float(np.prod(1 / (1 + ev))), float(np.sum(ev / (1 + ev))), float(np.sum(ev)), float(ev.max())
-    out = {}
-    t = math.sqrt((p * p * q * q - 4) / (p * p + q * q - 5)) if p * p + q * q > 5 else 1.0
-    d1, d2 = p * q, (v - (p - q + 1) / 2) * t - (p * q - 2) / 2
-    root = wilks ** (1 / t)
-    for name, value, f, a, b in (
-        ("Wilks' lambda", wilks, (1 - root) / root * d2 / d1, d1, d2),
-        ("Pillai's trace", pillai, (2 * u + s + 1) / (2 * m + s + 1) * pillai / (s - pillai), s * (2 * m + s + 1), s * (2 * u + s + 1)),
-        ("Hotelling-Lawley trace", hotelling, 2 * (s * u + 1) / (s * s * (2 * m + s + 1)) * hotelling, s * (2 * m + s + 1), 2 * (s * u + 1)),
-        ("Roy's greatest root", roy, roy * (v - max(p, q) + q) / max(p, q), max(p, q), v - max(p, q) + q),
-    ):
-        out[name] = (value, float(f), float(a), float(b), f_tail(float(f), a, b))
-    return out
+    e = raw - per
+    hypotheses = {"Intercept": (np.outer(sums[0], sums[0]) / n[0], 1), group: (per - np.outer(total, total) / n.sum(), len(names) - 1)}
+    return {effect: multivariate_tests(np.linalg.eigvals(np.linalg.solve(e, h)).real, p, q, n.sum() - len(names)) for effect, (h, q) in hypotheses.items()}
+
+
+def manova(df: DataFrame, group: str, columns: Sequence[str]) -> dict[str, tuple[float, float, float, float, float]]:
+    """By name of the statistic: (value, F, numerator df, denominator df, p), of the hypothesis that all group means are equal."""
+    return manova_effects(df, group, columns)[group]
 
 
 def ward(points: np.ndarray) -> np.ndarray:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import word_count
+from .lexicon import sized
+
 
 def rows_per(df: DataFrame, key: str) -> DataFrame:
     """(key, rows); a null key is counted."""
@@ -26,7 +29,7 @@ def top_items(df: DataFrame, items: str, name: str, n: int) -> DataFrame:
 def top_keywords_with_category(df: DataFrame, lexicon: DataFrame, n: int = 20) -> DataFrame:
     """Keyword counts after a join with the raw lexicon: its repeats multiply the counts."""
     used = df.select(F.explode("matched_keywords").alias("kw"))
-    j = used.join(F.broadcast(lexicon), F.lower("kw") == F.lower("keyword"))
+    j = used.join(sized(lexicon), F.lower("kw") == F.lower("keyword"))
     return j.groupBy("category", "keyword").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "category", "keyword").limit(n)
 
 
@@ -86,6 +89,11 @@ def spread(counts: DataFrame, key: str, cnt: str) -> DataFrame:
     return c.agg(F.count("*").alias("keys"), top[cnt].alias("most"), top[key].alias("most_key"), low[cnt].alias("least"), low[key].alias("least_key"), F.avg(cnt).alias("mean"))
 
 
+def head(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows in a stated order: a top-n in each task, then of their results."""
+    return df.orderBy(*order).limit(n)
+
+
 def histogram(values: DataFrame, column: str, bins: int = 30, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """(bin, cnt) of equal bins; the top edge belongs to the last."""
     b = F.least(F.floor((F.col(column) - low) * bins / (high - low)), F.lit(bins - 1)).cast("int")
@@ -103,9 +111,51 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("turn = 1").drop("turn")
 
 
-def lookup(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of table for the keys, in their order (key, at); a key that table lacks gives nulls."""
-    return keys.join(table, key, "left").orderBy("at")
+def lookup(table: DataFrame, keys: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """The rows of table for the keys, in their order (key, at). A key that table lacks fails the query, or gives nulls if not strict."""
+    if not strict:
+        return keys.join(table, key, "left").orderBy("at")
+    found = "_found"
+    j = keys.join(table.withColumn(found, F.lit(True)), key, "left")
+    # The error stands in a column that is used, so that no optimizer leaves it out.
+    checked = F.when(F.col(found), F.col("at")).otherwise(F.raise_error(F.concat(F.lit("no such key: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("long"))
+    return j.withColumn("at", checked).drop(found).orderBy("at")
+
+
+def with_concentration(table: DataFrame, counts: DataFrame, key: str, cnt: str = "cnt") -> DataFrame:
+    """table with hhi of its key's counts; keys without counts get null."""
+    return table.join(concentration(counts, key, cnt), key, "left")
+
+
+def mapped(df: DataFrame, column: str, mapping: Mapping[str, str], name: str) -> DataFrame:
+    """df with the value that mapping has for a column; null for what it lacks."""
+    if not mapping:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    table = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
+    return df.withColumn(name, F.try_element_at(table, F.col(column).cast("string")))
+
+
+def lengths_by(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, docs, least, q1, median, q3, most): words of the texts by key, a null key left out; quartiles interpolated."""
+    n = df.where(F.col(key).isNotNull()).select(key, word_count(F.col(text_col)).alias("n"))
+    q = [F.percentile("n", F.lit(p)).alias(name) for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    return n.groupBy(key).agg(F.count("*").alias("docs"), F.min("n").alias("least"), *q, F.max("n").alias("most"))
+
+
+def confidence(values: DataFrame, probabilities: str, bins: int = 30) -> DataFrame:
+    """(bin, cnt) of each row's highest probability."""
+    return histogram(values.select(F.array_max(probabilities).alias("p")), "p", bins)
+
+
+def top_comments(comments: Column, n: int = 5) -> Column:
+    """Bodies of the n best scored of the root-level comments (body, score, is_root); of equals the earlier."""
+    root = F.filter(comments, lambda c: c["is_root"])
+    placed = F.transform(root, lambda c, i: F.struct((-c["score"]).alias("s"), i.alias("i"), c["body"].alias("body")))
+    return F.transform(F.slice(F.array_sort(placed), 1, n), lambda c: c["body"])
+
+
+def first_bodies(comments: Column, n: int = 10) -> Column:
+    return F.transform(F.slice(comments, 1, n), lambda c: c["body"])
 
 
 def pairs(df: DataFrame, key: str, name: str) -> DataFrame:

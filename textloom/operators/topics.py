@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -18,25 +20,60 @@ def assign_topics(docs: DataFrame, vector: str = "embedding", k: int = 10, outli
     model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="topic").fit(data)
     spark = docs.sparkSession
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "topic int, centre array<double>")
-    placed = model.transform(data).join(F.broadcast(centres), "topic").withColumn("distance", F.sqrt(squared_distance(vector_to_array("v"), F.col("centre"))))
+    placed = model.transform(data).join(F.broadcast(centres) if k <= 10_000 else centres, "topic").withColumn("distance", F.sqrt(squared_distance(vector_to_array("v"), F.col("centre"))))
     cut = placed.approxQuantile("distance", [outlier], 0.001)
     far = F.col("distance") > (cut[0] if cut else 0.0)
     return placed.withColumns({"topic": F.when(far, -1).otherwise(F.col("topic")), "topic_probability": 1 / (1 + F.col("distance"))}).drop("v", "centre", "distance")
 
 
-def topic_words(docs: DataFrame, text_col: str = "clean_text", n: int = 10, min_df: int = 2, stopwords: tuple = ()) -> DataFrame:
-    """(topic, word, score, rank): class-based TF-IDF; tokens of two or more word characters."""
-    words = docs.select("topic", F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("word"))
-    if stopwords:
-        words = words.where(~F.col("word").isin(*stopwords))
-    tf = words.groupBy("topic", "word").agg(F.count("*").alias("tf"))
-    per_word = tf.groupBy("word").agg(F.sum("tf").alias("f")).where(F.col("f") >= min_df)
+#: Words that say little in posts on generated images, besides the language's own stop words.
+WEAK_WORDS = tuple(sorted(
+    "actually ai api attention automatic1111 better character checkpoint ckpt comfyui cuda dalle dont even feel get good human diffusers epoch error im image images just know layer like loss make midjourney "
+    "mj model models movie movies need new openai param people post prompt prompts really resnets rtx sd sdxl see seen setup thing think time tokenizer torch train training transformer use used using want weight yaml".split()
+))
+
+
+def tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:
+    """Runs of two or more word characters of the lower-cased text, without stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*stopwords)) if stopwords else words
+
+
+def vocabulary(docs: DataFrame, text_col: str = "clean_text", min_df: int = 2, stopwords: Sequence[str] = ()) -> DataFrame:
+    """(word, df): words of at least min_df documents, and of how many."""
+    each = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col), stopwords))).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+
+
+def word_counts(docs: DataFrame, id_col: str, text_col: str = "clean_text", min_df: int = 2, stopwords: Sequence[str] = ()) -> DataFrame:
+    """(id, word, n): the document-term matrix as its non-zero cells, over the vocabulary."""
+    cells = docs.select(id_col, F.explode(tokens(F.col(text_col), stopwords)).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    return cells.join(cells.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).select("word"), "word", "left_semi").select(id_col, "word", "n")
+
+
+def topic_words(docs: DataFrame, text_col: str = "clean_text", n: int = 10, min_df: int = 2, stopwords: Sequence[str] = ()) -> DataFrame:
+    """(topic, word, score, rank): class-based TF-IDF over words of at least min_df documents."""
+    # Counted within the document first, so a word travels once a document.
+    cells = docs.select("topic", F.explode(F.map_entries(_counts(tokens(F.col(text_col), stopwords)))).alias("e"))
+    tf = cells.groupBy("topic", F.col("e.key").alias("word")).agg(F.sum("e.value").alias("tf"), F.count("*").alias("df"))
+    per_word = tf.groupBy("word").agg(F.sum("tf").alias("f"), F.sum("df").alias("df")).where(F.col("df") >= min_df).drop("df")
     mean = tf.groupBy("topic").agg(F.sum("tf").alias("t")).agg(F.avg("t").alias("a"))
     scored = tf.join(per_word, "word").crossJoin(F.broadcast(mean)).withColumn("score", F.col("tf") * F.log1p(F.col("a") / F.col("f")))
     w = Window.partitionBy("topic").orderBy(F.desc("score"), "word")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("topic", "word", "score", "rank")
 
 
+def _counts(words: Column) -> Column:
+    """How often each item occurs, from the sorted array: its runs' lengths."""
+
+    def of(s: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.array(places), lambda b: F.map_from_arrays(F.transform(b, lambda i: F.get(s, i)), F.transform(b, lambda i, j: (F.coalesce(F.get(b, j + 1), F.size(s)) - i).cast("long"))))
+
+    counted = F.get(F.get(F.transform(F.array(F.array_sort(words)), of), F.lit(0)), F.lit(0))
+    return F.when(F.size(words) > 0, counted)
+
+
 def topic_info(docs: DataFrame, words: DataFrame) -> DataFrame:
     """(topic, count, avg_probability, representative_words)."""
     names = words.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("representative_words"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import lists as L
 from .functions import parsing as P
 from .functions import text as T
 from .operators import lexicon as lex
-from .operators import match, models, stats, summary, topics
-from .plans.filtering import clean_posts, filtered_posts, strict_posts
+from .operators import match, models, policy, stats, summary, topics
+from .plans.filtering import CLEAN, clean_dataset, clean_posts, filtered_posts, strict_posts
+from .sources import crawl, files, scratch
 
 LEXICON = {"common": ["that", "with", "The "], "rare": ["from", "of the", "est"], "foreign": ["und der", "que", "from"], "tags": ["<b>and"]}
 AI = ["the", "tion", "der", "de"]
@@ -307,8 +308,8 @@ def anova_by_label(spark, sf_dir):
 @query()
 def manova_by_label(spark, sf_dir):
     cols = [f"emotion_{i}" for i in range(VECTOR)]
-    got = stats.manova(stats.widened(table(spark, sf_dir, "embeddings"), "embedding", VECTOR), "label", cols)
-    return spark.createDataFrame([(k, *map(float, v)) for k, v in got.items()], "statistic string, value double, f double, num_df double, den_df double, p double")
+    got = stats.manova_effects(stats.widened(table(spark, sf_dir, "embeddings"), "embedding", VECTOR), "label", cols)
+    return spark.createDataFrame([(effect, k, *map(float, v)) for effect, tests in got.items() for k, v in tests.items()], "effect string, statistic string, value double, f double, num_df double, den_df double, p double")
 
 
 @query()
@@ -323,8 +324,8 @@ def label_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("topic"), F.col("text").alias("clean_text"), (1.0 / (1 + F.col("doc_id") % 5)).alias("topic_probability"))
 
 
-TFIDF = r"""WITH w AS (SELECT lang AS topic, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents), tf AS (SELECT topic, word, count(*) AS tf FROM w GROUP BY ALL),
-f AS (SELECT word, sum(tf) AS f FROM tf GROUP BY word HAVING sum(tf) >= 2), a AS (SELECT avg(t) AS a FROM (SELECT sum(tf) AS t FROM tf GROUP BY topic)),
+TFIDF = r"""WITH w AS (SELECT lang AS topic, doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS word FROM documents), tf AS (SELECT topic, word, count(*) AS tf FROM w GROUP BY ALL),
+f AS (SELECT word, count(*) AS f FROM w GROUP BY word HAVING count(DISTINCT doc_id) >= 2), a AS (SELECT avg(t) AS a FROM (SELECT sum(tf.tf) AS t FROM tf GROUP BY topic)),
 s AS (SELECT topic, word, tf * ln(1 + a / f) AS score FROM tf JOIN f USING (word) CROSS JOIN a), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, word) AS rank FROM s)"""
 
 
@@ -354,14 +355,335 @@ def confidence_histogram(spark, sf_dir):
     return summary.histogram(table(spark, sf_dir, "documents").select(((F.col("doc_id") % 100) / 100.0).alias("p")), "p")
 
 
-@query()
+@query("SELECT doc_id AS id, CASE WHEN contains(text, 'que') THEN 'yes' ELSE 'no' END AS pred_label, 'rule' AS llm_reasoning FROM documents")
 def stub_classification(spark, sf_dir):
     """The batch contract with a rule in the model's place."""
 
     def load():
-        return lambda texts: [f"Label: {'yes' if 'the' in t else 'no'}\nReasoning: rule" for t in texts]
+        return lambda texts: [f"Label: {'yes' if 'que' in t else 'no'}\nReasoning: rule" for t in texts]
+
+    return models.classify(posts_of(spark, sf_dir), load).select("id", "pred_label", "llm_reasoning")
+
+
+def posts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), F.col("text").alias("clean_text"))
+
+
+@query("SELECT doc_id AS id, 'no' AS pred_label, 'Model load failed' AS llm_reasoning, '' AS raw_output FROM documents")
+def failed_model(spark, sf_dir):
+    """A model that can't be loaded, with an error text that would read as a yes."""
+
+    def load():
+        raise RuntimeError("yes: the image model file is missing")
+
+    return models.classify(posts_of(spark, sf_dir), load).select("id", "pred_label", "llm_reasoning", "raw_output")
+
+
+@query("SELECT doc_id AS id, CASE WHEN contains(text, 'que') OR length(text) < 200 THEN 'no' ELSE 'yes' END AS pred_label, CASE WHEN contains(text, 'que') THEN 'Postprocessing failed: yes, the image is odd' WHEN length(text) < 200 THEN 'Postprocessing failed: 0 answers to 1 texts' ELSE 'fine' END AS llm_reasoning FROM documents")
+def failed_batches(spark, sf_dir):
+    """Batches of one that raise, or get too few answers, mark their own rows only."""
+
+    def load():
+        def run(texts):
+            if "que" in texts[0]:
+                raise ValueError("yes, the image is odd")
+            return [] if len(texts[0]) < 200 else ["Label: yes\nReasoning: fine"]
+
+        return run
+
+    return models.classify(posts_of(spark, sf_dir), load, batch=1).select("id", "pred_label", "llm_reasoning")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN contains(text, 'que') THEN 'long:0.75, odd:0.25' ELSE 'odd:0.6, long:0.4' END AS e FROM documents")
+def emotion_scores(spark, sf_dir):
+    def load():
+        return lambda texts: [[("odd", 0.25), ("long", 0.75)] if "que" in t else [("long", 0.4), ("odd", 0.6)] for t in texts]
+
+    text = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text"))
+    e = models.emotions(text, load)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(e, lambda x: F.concat(x["label"], F.lit(":"), x["score"])), ", ").alias("e"))
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN turn % 4 = 0 THEN '-' WHEN role = 'user' THEN 'user' ELSE 'other' END, ' ' ORDER BY turn) AS labels FROM (SELECT * FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1) GROUP BY conv_id")
+def comment_scores(spark, sf_dir):
+    """Emotions of lists of comments, blank ones without any."""
+
+    def load():
+        return lambda texts: [[("user" if t.startswith("user") else "other", 1.0)] for t in texts]
+
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.count("*").over(Window.partitionBy("conv_id", "turn"))).where("n = 1")
+    one = F.when(F.col("turn") % 4 == 0, " ").otherwise(F.concat("role", F.lit(" says")))
+    lists = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", one.alias("text")))), lambda x: x["text"]).alias("c"))
+    got = models.comment_emotions(lists, "conv_id", "c", load)
+    return got.select("conv_id", F.array_join(F.transform("scores", lambda s: F.when(F.size(s) == 0, "-").otherwise(F.get(s, F.lit(0))["label"])), " ").alias("labels"))
+
+
+TOKEN = r"[\p{L}\p{N}_]{2,}"
+
+
+@query(rf"SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS word FROM documents) WHERE word NOT IN ('der', 'the', 'que') GROUP BY word HAVING count(*) >= 2")
+def vectorizer_vocabulary(spark, sf_dir):
+    return topics.vocabulary(table(spark, sf_dir, "documents"), "text", 2, ("der", "the", "que"))
+
+
+@query(rf"WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS word FROM benchmark) SELECT item_id, word, count(*) AS n FROM w WHERE word IN (SELECT word FROM w GROUP BY word HAVING count(DISTINCT item_id) >= 2) GROUP BY ALL")
+def vectorizer_counts(spark, sf_dir):
+    return topics.word_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+SPACED = "CASE doc_id % 5 WHEN 0 THEN ' [Deleted] ' WHEN 1 THEN chr(9) || 'NULL' WHEN 2 THEN '  ' WHEN 3 THEN 'null and void' ELSE text END"
+
+
+@query(rf"SELECT doc_id FROM (SELECT doc_id, {SPACED} AS t FROM documents) WHERE lower(regexp_replace(t, '^\s+|\s+$', '', 'g')) NOT IN " + EMPTY)
+def strict_content(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 5 == 0, " [Deleted] ").when(F.col("doc_id") % 5 == 1, "\tNULL").when(F.col("doc_id") % 5 == 2, "  ").when(F.col("doc_id") % 5 == 3, "null and void").otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").where(T.has_content_strict(t)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 >= 2 OR doc_id % 4 IS NULL")
+def id_guard(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("key", F.when(F.col("doc_id") % 4 == 0, " NaN").when(F.col("doc_id") % 4 == 1, "").otherwise(F.col("doc_id").cast("string")))
+    return d.where(policy.valid_id(F.col("key"))).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 > 0 AND length(trim(text)) > 0")
+def non_blank_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("clean_text", F.when(F.col("doc_id") % 3 == 0, " \n").otherwise(F.col("text")))
+    return models.non_blank(d).select("doc_id")
+
+
+@query("SELECT quality, count(*) AS n FROM documents d JOIN labels l USING (doc_id) WHERE quality IS NOT NULL AND source <> 'src1' GROUP BY quality")
+def complete_rows(spark, sf_dir):
+    """Rows without a null in the columns that count."""
+    d = topics.attach(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").withColumn("s", F.when(F.col("source") != "src1", F.col("source")))
+    return d.dropna(subset=["quality", "s"]).groupBy("quality").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, CASE lang WHEN 'en' THEN 'west' WHEN 'de' THEN 'north' END AS area, count(*) AS n FROM documents GROUP BY ALL")
+def mapped_categories(spark, sf_dir):
+    return summary.mapped(table(spark, sf_dir, "documents"), "lang", {"en": "west", "de": "north", "zz": "nowhere"}, "area").groupBy("lang", "area").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id % 4 AS reason, count(*) AS n FROM labels WHERE doc_id % 4 < 3 GROUP BY ALL")
+def quarantined(spark, sf_dir):
+    """Classified records that lack a text, a label of yes or no, or a subreddit."""
+    k = F.col("doc_id") % 4
+    d = table(spark, sf_dir, "labels").select(k.alias("reason"), F.col("doc_id").alias("id"), F.when(k != 0, "s").alias("subreddit"), F.when(k != 1, "t").alias("clean_text"), F.when(k == 2, "maybe").otherwise("yes").alias("pred_label"))
+    return models.valid_classifications(d)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id % 7 > 1")
+def valid_records(spark, sf_dir):
+    k = F.col("doc_id") % 7
+    words = F.array(F.lit("w"))
+    d = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("id"), F.lit("s").alias("subreddit"), F.lit(None).cast("string").alias("subreddit_group"), F.when(k != 0, "t").alias("clean_text"), F.lit("t").alias("clean_text_lc"), F.when(k != 1, words).alias("matched_bias_types"), words.alias("matched_keywords"))
+    return models.valid_filtered(d)[0].select("doc_id")
+
+
+@query(SL + ", h AS (SELECT source, sum(pow(cnt / t, 2)) AS hhi FROM (SELECT *, sum(cnt) OVER (PARTITION BY source) AS t FROM c WHERE source <> 'src3') GROUP BY source) SELECT d.source, count(*) AS n, round(any_value(hhi), 9) AS hhi FROM documents d LEFT JOIN h USING (source) GROUP BY d.source")
+def merged_concentration(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return summary.with_concentration(rows, source_lang(spark, sf_dir).where("source <> 'src3'"), "source").select("source", "n", F.round("hhi", 9).alias("hhi"))
+
+
+@query("SELECT lang, count(*) AS n, CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END AS at FROM documents WHERE lang IN ('fr', 'en', 'de') GROUP BY lang")
+def ordered_lookup(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    keys = spark.createDataFrame([("fr", 0), ("en", 1), ("de", 2)], "lang string, at int")
+    return summary.lookup(counts, keys, "lang").select("lang", "n", F.col("at").cast("int").alias("at"))
+
+
+COMMENTS = "SELECT conv_id, text AS body, length(text) % 7 AS score, turn % 3 <> 1 AS is_root, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations"
 
-    return models.classify(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), F.col("text").alias("clean_text")), load).select("id", "pred_label", "llm_reasoning")
+
+def comment_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.struct("turn", "role", F.col("text").alias("body"), (F.length("text") % 7).alias("score"), (F.col("turn") % 3 != 1).alias("is_root"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("c"))
+
+
+@query(f"WITH c AS ({COMMENTS}), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, i) AS k FROM c WHERE is_root) SELECT c.conv_id, coalesce((SELECT string_agg(body, ' ## ' ORDER BY k) FROM r WHERE r.conv_id = c.conv_id AND k <= 5), '') AS top FROM (SELECT DISTINCT conv_id FROM c) c")
+def top_root_comments(spark, sf_dir):
+    return comment_lists(spark, sf_dir).select("conv_id", F.array_join(summary.top_comments(F.col("c")), " ## ").alias("top"))
+
+
+@query(f"WITH c AS ({COMMENTS}) SELECT conv_id, string_agg(trim(regexp_replace(regexp_replace(lower(body), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g')), ' ## ' ORDER BY i) AS first FROM c WHERE i <= 10 GROUP BY conv_id")
+def cleaned_comments(spark, sf_dir):
+    """The first ten comments, normalized (conversations have no markup)."""
+    plain = F.transform(summary.first_bodies(F.col("c"), 12), lambda b: F.regexp_replace(b, r"[<>]|http|www", ""))
+    return comment_lists(spark, sf_dir).select("conv_id", F.array_join(T.clean_comments(plain), " ## ").alias("first"))
+
+
+@query("SELECT label, string_agg(emotion || '=' || round(m, 3), ' ' ORDER BY m DESC, emotion) AS sorted, max_by(emotion, m) AS first FROM (" + " UNION ALL ".join(f"SELECT label, 'e{i}' AS emotion, abs(avg(CAST(embedding[{i + 1}] AS DOUBLE))) AS m FROM embeddings GROUP BY label" for i in range(4)) + ") GROUP BY label")
+def sorted_emotions(spark, sf_dir):
+    """Scores written as JSON, read, sorted, joined; and the primary one."""
+    means = table(spark, sf_dir, "embeddings").groupBy("label").agg(*(F.abs(F.avg(F.get("embedding", F.lit(i)).cast("double"))).alias(f"e{i}") for i in range(4)))
+    json = F.to_json(F.array(*(F.array(F.lit(f"e{i}"), F.col(f"e{i}").cast("string")) for i in range(4))))
+    e = means.select("label", L.by_score(L.parse_scores(json)).alias("e"))
+    return e.select("label", F.array_join(F.transform("e", lambda x: F.concat(x["label"], F.lit("="), F.round(x["score"], 3))), " ").alias("sorted"), L.primary(F.col("e"))["label"].alias("first"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 3) THEN 'b' ELSE '' END AS above FROM documents")
+def thresholded_scores(spark, sf_dir):
+    high = F.when(F.col("doc_id") % 5 == 1, 0.9).when(F.col("doc_id") % 5 == 3, 0.41).otherwise(0.4)
+    pairs = F.array(F.struct(F.lit("a").alias("label"), F.lit(0.2).alias("score")), F.struct(F.lit("b").alias("label"), high.alias("score")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(L.above(pairs), lambda s: s["label"]), ",").alias("above"))
+
+
+@query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents) WHERE r <= 7")
+def head_rows(spark, sf_dir):
+    return summary.head(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 7, F.desc("doc_id"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text || ' a.b(c)+ ' || lang, regexp_escape(lang) || '$') AND regexp_matches(text || ' a.b(c)+', regexp_escape('a.b(c)+')) AS found FROM documents")
+def escaped_keywords(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumns({"t": F.concat("text", F.lit(" a.b(c)+ "), "lang"), "k": F.lit("a.b(c)+")})
+    return d.select("doc_id", (F.expr("rlike(t, concat(lang, '$'))") & F.regexp_like("t", T.escape_pattern(F.col("k")))).alias("found"))
+
+
+@query("SELECT doc_id, 'Classify: ' || trim(lang || ' ' || source) || chr(10) || 'Label:' AS prompt FROM documents")
+def rendered_prompts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.render_prompt("Classify: {{ post_text }}\nLabel:", F.concat(F.lit("  "), "lang", F.lit(" "), "source", F.lit(" "))).alias("prompt"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) > 140 THEN rtrim(substr(t, 1, 139)) || '…' ELSE t END AS short FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 30) END AS t FROM documents)")
+def shortened(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 30))
+    return table(spark, sf_dir, "documents").select("doc_id", T.shorten(t).alias("short"))
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN lang || ' | ' || source WHEN 1 THEN lang || ' | ' || source WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN lang ELSE lang || ' x | ' || source END AS items, CASE WHEN doc_id % 6 IN (2, 3) THEN 0 WHEN doc_id % 6 = 4 THEN 1 ELSE 2 END AS n FROM documents")
+def parsed_lists(spark, sf_dir):
+    """Lists out of text: comma-separated, bracketed with or without quotes, nan, null, single."""
+    k = F.col("doc_id") % 6
+    text = F.when(k == 0, F.concat("lang", F.lit(", "), "source")).when(k == 1, F.concat(F.lit("['"), "lang", F.lit("', \""), "source", F.lit('"]'))).when(k == 2, "NaN").when(k == 4, F.col("lang")).when(k == 5, F.concat(F.lit("["), "lang", F.lit(" x, "), "source", F.lit("]")))
+    items = L.parse_list(text)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(items, " | ").alias("items"), L.length(items).alias("n"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) || ',end' AS flat, count(*) + 1 AS n FROM (SELECT * FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1) GROUP BY conv_id")
+def flattened_lists(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.count("*").over(Window.partitionBy("conv_id", "turn"))).where("n = 1")
+    c = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
+    flat = L.flatten_lists(F.array("r", F.array(F.lit("end")), L.or_empty(F.lit(None).cast("array<string>"))))
+    return c.select("conv_id", F.array_join(flat, ",").alias("flat"), L.length(flat).cast("long").alias("n"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events")
+def written_dates(spark, sf_dir):
+    """A written date, else the epoch, else null."""
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("not a date")
+    epoch = F.when(k == 1, F.unix_timestamp("ts").cast("string")).otherwise("x")
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(L.timestamp(text, epoch), "yyyy-MM-dd").alias("day"))
+
+
+@query(r"SELECT lang, count(*) AS docs, min(n) AS least, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.75) AS q3, max(n) AS most FROM (SELECT lang, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS n FROM documents) GROUP BY lang")
+def lengths_by_topic(spark, sf_dir):
+    return summary.lengths_by(table(spark, sf_dir, "documents"), "lang", "text")
+
+
+@query("SELECT CAST(least(floor(p * 30), 29) AS INTEGER) AS bin, count(*) AS cnt FROM (SELECT greatest((doc_id % 100) / 100.0, (doc_id % 7) / 7.0) AS p FROM documents) GROUP BY 1")
+def highest_confidence(spark, sf_dir):
+    return summary.confidence(table(spark, sf_dir, "documents").select(F.array(((F.col("doc_id") % 100) / 100.0).cast("double"), ((F.col("doc_id") % 7) / 7.0).cast("double")).alias("p")), "p")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS subreddit, CAST(NULL AS VARCHAR) AS title, text AS selftext, '' AS comments, ' ' || text AS full_text, trim(regexp_replace(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g')) AS clean_text, CAST(length(text) AS INTEGER) AS score, CAST(NULL AS VARCHAR) AS flair FROM documents WHERE doc_id % 5 > 0")
+def clean_columns(spark, sf_dir):
+    """The thirteen columns of a clean post, those that are missing as nulls (documents have no markup)."""
+    d = table(spark, sf_dir, "documents")
+    posts = d.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("subreddit"), F.lit(None).cast("string").alias("title"), F.when(F.col("doc_id") % 5 == 0, " [removed] ").otherwise(F.col("text")).alias("selftext"), F.length("text").alias("score"))
+    clean = clean_dataset(posts)
+    assert clean.columns == list(CLEAN)
+    return clean.select("id", "subreddit", "title", "selftext", F.array_join(L.or_empty(F.col("comments")), ",").alias("comments"), "full_text", "clean_text", "score", "flair")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 4 = 1 THEN 'beta' ELSE source END AS subreddit, CASE WHEN doc_id % 2 = 0 THEN lang END AS matched_keywords, CASE WHEN doc_id % 2 = 1 THEN CAST(n_chars AS VARCHAR) END AS n_chars FROM documents")
+def csv_set(spark, sf_dir):
+    """Two CSV files with other columns in another order, put together by name; a null subreddit is the file's name."""
+    at = scratch.folder(spark, "csv")
+    d = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    for name, rows in (("alpha", d.where("doc_id % 2 = 0").select("source", "lang", "id").toDF("subreddit", "matched_keywords", "id")), ("beta", d.where("doc_id % 2 = 1").select("n_chars", "id", F.when(F.col("doc_id") % 4 == 3, F.col("source")).alias("subreddit")))):
+        files.write_csv(rows.coalesce(1), f"{at}/{name}")
+        part = [p for p in files.paths_of(spark, f"{at}/{name}") if p.endswith(".csv")][0]
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        path(part).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(part), path(f"{at}/{name}_keyword_filtered.csv"))
+    return files.read_csv_set(spark, f"{at}/*_keyword_filtered.csv").select("id", "subreddit", "matched_keywords", "n_chars")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS subreddit, text AS selftext, 1640990000 + doc_id AS created_utc FROM documents")
+def json_lines(spark, sf_dir):
+    """Written as JSON lines and read back strictly."""
+    at = scratch.folder(spark, "jsonl")
+    files.write_json(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("subreddit"), F.col("text").alias("selftext"), (1640990000 + F.col("doc_id")).alias("created_utc")), at)
+    return files.read_jsonl(spark, at).select("id", "subreddit", "selftext", "created_utc")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS subreddit, text AS selftext, strftime(to_timestamp(1640990000 + doc_id * 86400), '%Y-%m-%d') AS created FROM documents")
+def json_to_csv(spark, sf_dir):
+    """JSON lines turned into CSV, line breaks and quotes in texts and all."""
+    at = scratch.folder(spark, "convert")
+    files.write_json(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("subreddit"), F.col("text").alias("selftext"), (1640990000 + F.col("doc_id") * 86400).alias("created_utc")), f"{at}/in")
+    files.jsonl_to_csv(spark, f"{at}/in", f"{at}/out")
+    back = files.read_csv_set(spark, f"{at}/out/*.csv")
+    return back.select("id", "subreddit", "selftext", F.substring("created_dt", 1, 10).alias("created"))
+
+
+@query("SELECT item_id, text FROM benchmark")
+def json_array(spark, sf_dir):
+    at = scratch.folder(spark, "array")
+    uri = at if "://" in at else f"file://{at.removeprefix('file:')}"
+    files.write_json_array(table(spark, sf_dir, "benchmark"), f"{uri}.json")
+    return files.read_json_array(spark, f"{at}.json", "item_id long, text string")
+
+
+@query("SELECT DISTINCT id, source AS subreddit FROM (SELECT CAST(doc_id % 50 AS VARCHAR) AS id, source, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY source, doc_id) AS r FROM documents WHERE source IN ('src0', 'src1')) WHERE r = 1")
+def crawled(spark, sf_dir):
+    """Pages of posts of two sources, each fetched in a task; the first post of each id stays, and a source that fails is left out."""
+    kept = table(spark, sf_dir, "documents").where("source in ('src0', 'src1')").select("source", (F.col("doc_id") % 50).cast("string").alias("id"), "doc_id").orderBy("source", "doc_id").collect()  # a stand-in for a server
+    have: dict[str, list] = {}
+    for r in kept:
+        have.setdefault(r.source, []).append({"id": r.id, "subreddit": r.source})
+
+    def fetch_of(name):
+        return lambda cursor, n: (have[name][int(cursor or 0) :][:n], str(int(cursor or 0) + n) if int(cursor or 0) + n < len(have[name]) else None)
+
+    posts, _ = crawl.crawl(spark, ["src0", "src1", "gone"], fetch_of, 10**9, "id string, subreddit string", scratch.folder(spark, "crawl"))
+    return posts.select("id", "subreddit")
+
+
+GRAMS = r"""w AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM benchmark),
+many(category, keyword) AS (SELECT 'c' || r % 16, k FROM (SELECT k, row_number() OVER (ORDER BY k) AS r FROM (SELECT DISTINCT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS k FROM w) WHERE length(k) >= 5) WHERE r <= 654)"""
+
+
+def many_keywords(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """654 keywords of one and two words, in 16 categories, out of the benchmark's words."""
+    found = set()
+    for (text,) in table(spark, sf_dir, "benchmark").select(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", "")).collect():  # a small, fixed table
+        ws = [x for x in text.split(" ") if x]
+        found |= {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))}
+    return [(f"c{(i + 1) % 16}", k) for i, k in enumerate(sorted(k for k in found if len(k) >= 5)[:654])]
+
+
+@query(f"WITH {GRAMS}, d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[' || chr(9) || chr(10) || chr(12) || chr(13) || ']', '  ', 'g') || ' ' AS t FROM documents) SELECT doc_id AS id, category, keyword FROM d JOIN many ON contains(t, ' ' || keyword || ' ')")
+def many_keyword_join(spark, sf_dir):
+    """As keyword_theta_join, with a lexicon of the usual size."""
+    posts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("clean_text_lc"))
+    return match.match_keywords(posts, spark.createDataFrame(many_keywords(spark, sf_dir), "category string, keyword string")).select("id", "category", "keyword")
+
+
+@query(
+    rf"""WITH {GRAMS}, d AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT DISTINCT doc_id, category, keyword FROM d JOIN many ON contains(t, keyword)
+ AND regexp_matches(t, '(^|[^\p{{L}}\p{{M}}\p{{Nd}}_])' || keyword || '(al|ed|es|ical|s|y)?($|[^\p{{L}}\p{{M}}\p{{Nd}}_])'))
+SELECT CAST(doc_id AS VARCHAR) AS id, array_to_string(list_sort(list(DISTINCT category)), ', ') AS types, array_to_string(list_sort(list(DISTINCT keyword)), ', ') AS words FROM h GROUP BY doc_id"""
+)
+def many_strict(spark, sf_dir):
+    """As strict_recheck, with a lexicon of the usual size."""
+    none = F.array().cast("array<string>")
+    posts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), F.lit("technical").alias("subreddit_group"), F.col("text").alias("clean_text"), F.lower("text").alias("clean_text_lc"), none.alias("matched_bias_types"), none.alias("matched_keywords"))
+    lexicon: dict[str, list[str]] = {}
+    for c, k in many_keywords(spark, sf_dir):
+        lexicon.setdefault(c, []).append(k)
+    return strict_posts(posts, lexicon, []).select("id", L.join_list(F.col("matched_bias_types")).alias("types"), L.join_list(F.col("matched_keywords")).alias("words"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
