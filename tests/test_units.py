@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from textloom.functions import lists as L
 from textloom.functions import parsing as P
 from textloom.functions import text as T
-from textloom.operators import lexicon, match, models, policy, stats, summary, topics
+from textloom.operators import lexicon, match, models, policy, sentiment, stats, summary, topics
 from textloom.plans import runner
-from textloom.plans.filtering import clean_posts, filtered_posts, strict_posts
+from textloom.plans.filtering import CLEAN, clean_dataset, clean_posts, filtered_posts, strict_posts
 from textloom.sources import crawl, files
 from textloom.streaming import ingest
 
@@ -140,9 +140,19 @@ def test_models(spark):
     assert got == {"1": "yes", "2": "no", "3": "yes"}
 
     def broken():
-        raise RuntimeError("none")
+        raise RuntimeError("yes: the image model file is missing")
 
-    assert {r.pred_label for r in models.classify(df, broken).collect()} == {"no"}
+    assert {(r.pred_label, r.llm_reasoning, r.raw_output) for r in models.classify(df, broken).collect()} == {("no", models.LOAD_FAILED, "")}
+
+    def short():
+        return lambda texts: ["Label: yes"] * (len(texts) - (texts[0] == "good"))
+
+    got = {r.id: (r.pred_label, r.llm_reasoning) for r in models.classify(df, short, batch=1).collect()}
+    assert got["1"] == ("no", "Postprocessing failed: 0 answers to 1 texts") and got["2"][0] == got["3"][0] == "yes"
+    one = models.classify_one(spark, "some text", lambda: lambda ts: ["", ""][: len(ts)])
+    assert (one["id"], one["subreddit"], one["pred_label"], one["raw_output"]) == ("unknown", "unknown", "no", "[EMPTY_OUTPUT]")
+    lost = df.select(models.emotions(F.col("clean_text"), lambda: lambda ts: []).alias("e")).collect()
+    assert [r.e for r in lost] == [None, None, []]
     scores = df.select(models.emotions(F.col("clean_text"), lambda: lambda ts: [[("a", 0.1), ("b", 0.9)] for _ in ts]).alias("e")).collect()
     assert [len(r.e) for r in scores] == [2, 2, 0] and scores[0].e[0].label == "b"
     com = spark.createDataFrame([(1, ["x", " ", "y"]), (2, None)], "id int, c array<string>")
@@ -164,6 +174,18 @@ def test_statistics(spark):
     want = (sum(len(q) * (q.mean() - mean) ** 2 for q in groups) / 2) / (sum(((q - q.mean()) ** 2).sum() for q in groups) / 87)
     assert abs(f - want) < 1e-3 and p < 1e-4 < p2
     assert abs(stats.f_tail(3.0, 2, 10) - 0.0953674316) < 1e-9  # (1 + 2 * 3 / 10) ** -5
+    # Published tests of the iris data: 4 variables, 3 groups of 50, roots 32.1919 and 0.2854.
+    iris = stats.multivariate_tests([32.19193, 0.28539], 4, 2, 147)
+    want = {"Wilks' lambda": (0.0234386, 199.145, 8, 288), "Pillai's trace": (1.19190, 53.466, 8, 290), "Hotelling-Lawley trace": (32.47732, 582.197, 8, 203.4), "Roy's greatest root": (32.19193, 1166.957, 4, 145)}
+    for name, values in want.items():
+        assert np.allclose(iris[name][:4], values, rtol=2e-4), name
+    # With one degree of freedom all four are the same exact test.
+    single = stats.multivariate_tests([0.7], 3, 1, 40)
+    assert np.allclose([v[1] for v in single.values()], 0.7 * 38 / 3) and np.allclose([v[4] for v in single.values()], single["Pillai's trace"][4])
+    effects = stats.manova_effects(df, "g", ["x", "y"])
+    first, e = x[g == 0], sum(np.cov(x[g == i].T) * 29 for i in range(3))
+    t2 = 30 * first.mean(0) @ np.linalg.solve(e, first.mean(0))
+    assert set(effects) == {"Intercept", "g"} and abs(effects["Intercept"]["Hotelling-Lawley trace"][0] - t2) < 1e-9
     got = stats.manova(df, "g", ["x", "y"])
     assert 0 < got["Wilks' lambda"][0] < 1 and got["Pillai's trace"][4] < 1e-4
     link = stats.ward(np.array([[0.0], [1.0], [10.0]]))
@@ -184,7 +206,10 @@ def test_summaries(spark):
     assert summary.spread(df.groupBy("k").agg(F.sum("cnt").alias("cnt")), "k", "cnt").first().most_key == "unknown"
     assert [r.n for r in summary.ranked(df.where("k = 'a'"), "k", "cnt", "n", 1).collect()] == ["x"]
     keys = spark.createDataFrame([("a", 1), ("q", 0)], "k string, at int")
-    assert [r.k for r in summary.lookup(df.dropDuplicates(["k"]), keys, "k").collect()] == ["q", "a"]
+    assert [r.k for r in summary.lookup(df.dropDuplicates(["k"]), keys, "k", strict=False).collect()] == ["q", "a"]
+    with pytest.raises(Exception, match="no such key: q"):
+        summary.lookup(df.dropDuplicates(["k"]), keys, "k").collect()
+    assert [r.n for r in summary.lookup(df.where("n = 'x'"), keys.where("k = 'a'"), "k").collect()] == ["x"]
     assert summary.pairs(spark.createDataFrame([(1, "x"), (1, "y"), (2, "x")], "k int, n string"), "k", "n").collect()[0].asDict() == {"a": "x", "b": "y", "cnt": 1}
 
 
@@ -202,6 +227,35 @@ def test_sources(spark, tmp_path):
     files.write_csv(spark.createDataFrame([("1", ["a", "b"], "x\ny")], "id string, matched_keywords array<string>, clean_text string"), str(tmp_path / "csv"))
     back = files.read_csv_set(spark, str(tmp_path / "csv" / "*.csv")).first()
     assert back.matched_keywords == "a, b" and back.clean_text == "x\ny" and back.created_dt is None and back.subreddit.startswith("part")
+    with pytest.raises(FileNotFoundError):
+        files.read_csv_set(spark, str(tmp_path / "nothing*.csv"))
+    (tmp_path / "set").mkdir()
+    (tmp_path / "set" / "a_keyword_filtered.csv").write_text("id,subreddit,clean_text\n1,s1,hello\n")
+    (tmp_path / "set" / "b_keyword_filtered.csv").write_text("subreddit,id,clean_text,extra\ns2,2,world,x\n,3,again,y\n")
+    (tmp_path / "set" / "c_keyword_filtered.csv").write_text("")
+    got = files.read_csv_set(spark, str(tmp_path / "set" / "*.csv"))
+    assert sorted((r.id, r.subreddit, r.clean_text, r.extra, r.title) for r in got.collect()) == [("1", "s1", "hello", None, None), ("2", "s2", "world", "x", None), ("3", "b", "again", "y", None)]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("")
+    with pytest.raises(RuntimeError):
+        files.read_csv_set(spark, str(tmp_path / "none" / "*.csv"))
+    files.write_header(spark, ["id", "raw_output"], str(tmp_path / "head"))
+    assert [p.read_text() for p in (tmp_path / "head").glob("part*")] == ["id,raw_output\n"]
+    for n, want in ((0, []), (2, [{"id": 0, "t": "é\n"}, {"id": 1, "t": "é\n"}])):
+        files.write_json_array(spark.range(n).withColumn("t", F.lit("é\n")), f"file://{tmp_path}/{n}.json")
+        text = (tmp_path / f"{n}.json").read_text("utf-8")
+        assert text == json.dumps(want, ensure_ascii=False, indent=2)
+    preview = files.extract_zst(spark, f"file://{tmp_path}/a.zst", str(tmp_path / "extracted"), delete_source=True)
+    assert preview.count() == 5 and not (tmp_path / "a.zst").exists()
+    (tmp_path / "empty.zst").write_bytes(zstandard.ZstdCompressor().compress(b""))
+    with pytest.raises(Exception, match="nothing in"):
+        files.read_zst_lines(spark, [f"file://{tmp_path}/empty.zst"]).collect()
+    assert files.read_zst_lines(spark, [f"file://{tmp_path}/empty.zst"], allow_empty=True).count() == 0
+    files.jsonl_to_csv(spark, str(tmp_path / "a_submissions.jsonl"), str(tmp_path / "as_csv"))
+    assert files.read_csv_set(spark, str(tmp_path / "as_csv" / "*.csv")).count() == 5
+    assert files.list_extracted(spark, str(tmp_path)) == ["a_submissions.jsonl"]
+    assert files.register(files.sample_posts(spark, 6), "sample").count() == spark.sql("select distinct id from sample").count() == 6
+    assert clean_posts(files.sample_posts(spark, 6)).count() == 6
     files.write_json(spark.range(2), str(tmp_path / "json"))
     assert files.read_json_array(spark, str(tmp_path / "json"), "id long").count() >= 1
     ingest.write_available(ingest.stream_posts(spark, str(tmp_path / "*.jsonl")), str(tmp_path / "out"), str(tmp_path / "cp"))
@@ -209,7 +263,7 @@ def test_sources(spark, tmp_path):
     assert files.empty(spark, files.RAW).count() == 0
 
 
-def test_crawl(spark):
+def test_crawl(spark, tmp_path):
     data = {"a": [{"id": str(i)} for i in range(7)], "b": [{"id": "3"}, {"id": "9"}]}
     state = {"failed": False}
 
@@ -223,12 +277,15 @@ def test_crawl(spark):
 
         return fetch
 
-    old, crawl.pages.__defaults__ = crawl.pages.__defaults__, (100, 3, 0.0, ConnectionError)
-    try:
-        df, failed = crawl.crawl(spark, ["a", "b", "c"], fetch_of, 6, "id string")
-    finally:
-        crawl.pages.__defaults__ = old
-    assert sorted(r.id for r in df.collect()) == ["0", "1", "2", "3", "4", "5", "9"] and list(failed) == ["c"]
+    df, failed = crawl.crawl(spark, ["a", "b", "c"], fetch_of, 6, "id string", f"file://{tmp_path}/crawl", wait=0.0)
+    assert sorted(r.id for r in df.collect()) == ["0", "1", "2", "3", "4", "5", "9"] and [r.source for r in failed.collect()] == ["c"]
+    assert sorted(p.name for p in (tmp_path / "crawl").glob("source=*")) == ["source=a", "source=b", "source=c"]
+    server = lambda cursor, n: ([{"id": int(cursor or 0) + i} for i in range(n)], str(int(cursor or 0) + n))
+    assert len(crawl.pages(server, 250)) == 250 and len(crawl.pages(server, 250, whole_pages=True)) == 300
+    posts, cursor = crawl.listing({"data": {"children": [{"data": {"id": "x", "title": "t"}}], "after": ""}})
+    assert cursor is None and crawl.completed(posts[0], "s")["subreddit"] == "s" and crawl.checked(posts[0], ["id"]) == {"id": "x"}
+    with pytest.raises(KeyError):
+        crawl.checked(posts[0], ["id", "score"])
 
 
 def test_runner(spark, tmp_path):
@@ -250,3 +307,51 @@ def test_policy(spark):
     df = spark.createDataFrame([("s", None), ("s", "critical_discussion")], "sub string, g string")
     got = [r.k for r in df.select(policy.keep_strict(F.col("sub"), F.col("g"), F.lit(True), F.lit(False)).alias("k")).collect()]
     assert got == [False, True]
+
+
+def test_strict_lookups_equal_patterns(spark):
+    words = ["ai", "model", "stable diffusion", "gpt-4", "women's", "--ar", "/imagine", "copilot", "dalle", "c++", "ſtyle", "naïve art", "art", "artifici", "x_y"]
+    texts = [" ".join(t) for t in (["ai models", "ais"], ["stable  diffusion", "stable diffusions."], ["gpt-4s", "gpt-45"], ["women's", "womens"], ["x--ar 1", "--ar"], ["copilots", "(copilot)"], ["c++", "c++s"], ["style ſtyle", "ſtyles"], ["naïve art", "naïve arty"], ["artificial", "artical artes"], ["x_y", "x_ys _x_y"], ["ai_model", "ai-model"], ["aı", "AI".lower()], ["é", ""])]
+    df = spark.createDataFrame(list(enumerate([*texts, "", None])), "i int, t string")
+    by_pattern = F.filter(F.array(*(F.when(F.col("t").rlike(match.strict_pattern(w)), F.lit(w)) for w in words)), lambda k: k.isNotNull())
+    for r in df.select("t", by_pattern.alias("want"), match.strict_matches(F.col("t"), words).alias("got")).collect():
+        assert (r.got or []) == r.want, r.t
+    both = df.select(F.inline(F.array(match.strict_hits(F.coalesce("t", F.lit("")), {"a": ["ai", "art"], "b": ["ai"]}, ["model"])))).collect()
+    assert (both[0].types, both[0].words, both[0].more) == (["a", "b"], ["ai", "ai"], ["model"])
+
+
+def test_large_lexicons_are_joined(spark, monkeypatch):
+    lex = lexicon.from_mapping(spark, {"gender": ["gender", "woman"], "race": ["race of"]})
+    ai = spark.createDataFrame([("ai",), ("model",)], "keyword string")
+    groups = spark.createDataFrame([("tech", "technical")], "subreddit string, group string")
+    rows = [("1", "tech", "ai gender race of", "ai gender", 1700000000), ("1", "tech", "ai gender race of", "ai gender", 1700000000), ("2", "tech", "models woman", None, 1700000000), ("3", "tech", "woman", None, 1700000000)]
+    posts = spark.createDataFrame(rows, POST)
+    few = sorted(filtered_posts(posts, groups, lex, ai).collect())
+    monkeypatch.setattr(match, "MOST", 1)
+    assert sorted(filtered_posts(posts, groups, lex, ai).collect()) == few and len(few) == 2
+
+
+def test_keyword_stage_moves_no_text(spark):
+    from textloom.queries import flagship
+
+    plan = flagship(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanged and not any("text" in line for line in exchanged) and "BroadcastNestedLoop" not in plan
+
+
+def test_sentiment(spark):
+    words = {"good": 1.9, "bad": -2.5, "great": 3.1}
+    assert sentiment.polarity("it is good", words) == {"neg": 0.0, "neu": 0.408, "pos": 0.592, "compound": 0.4404}
+    assert sentiment.polarity("it is not good", words)["compound"] == -0.3412
+    assert sentiment.polarity("very good!!", words)["compound"] > sentiment.polarity("good", words)["compound"]
+    assert sentiment.polarity("good but bad", words)["compound"] < 0 and sentiment.polarity("", words)["compound"] == 0.0
+    got = spark.createDataFrame([("it is good",), (None,), ("",)], "t string").select(sentiment.sentiment(F.col("t"), words).alias("s")).collect()
+    assert got[0].s.compound == 0.4404 and got[1].s is None and got[2].s.neu == 0.0
+
+
+def test_clean_dataset(spark):
+    rows = [("1", "s", "A b!", None, [" X y. ", "z"], 3), ("2", "s", " [deleted] ", "null", None, 4), ("3", "s", None, "body", None, 5)]
+    got = clean_dataset(spark.createDataFrame(rows, "id string, subreddit string, title string, selftext string, comments array<string>, score int"), ("b",))
+    assert got.columns == list(CLEAN) and len(CLEAN) == 13
+    by = {r.id: r for r in got.collect()}
+    assert set(by) == {"1", "3"} and by["1"].clean_text == "a" and by["1"].top_comments == ["x y", "z"] and by["3"].flair is None
