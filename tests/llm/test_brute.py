@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textloom.llm import licenses, mixing, packing, quality, warc
-from textloom.llm.chaining import GAP_COST, chains, shared_passages
+from textloom.llm.chaining import GAP_COST, chains, shared_passages, stretch
 from textloom.llm.decontaminate import contaminated, pack, unpack
 from textloom.llm.mixing import flight, landing, sample_sources, target_probabilities
 from textloom.llm.near_dedup import near_duplicates
@@ -173,6 +173,26 @@ def test_passages_across_seams(spark):
     assert {(i + 3, i + 2) for i in range(0, 240, 4)} <= found
 
 
+def test_edited_passages(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, n = [], 0
+    for n in range(100):
+        x = some(80)
+        y = [w for v in x for w in ([v] if rng.random() < 0.9 else rng.choice(([], some(1), [v, *some(1)])))]  # a word in ten is left out, replaced or followed by another
+        rows += [(2 * n, " ".join(some(50) + x + some(50))), (2 * n + 1, " ".join(some(70) + y + some(20)))]
+    found = shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in found if r.other_id == r.doc_id - 1}) >= 90 and all(r.other_id == r.doc_id - 1 for r in found)
+
+
+def test_stretch():
+    w = np.arange(100, dtype=np.uint32)
+    assert stretch(w[:30], w[:30], 8) == (30, 30, 30)
+    assert stretch(w[:30], np.delete(w[:30], 12), 8) == (30, 29, 29)
+    assert stretch(np.insert(w[:30], 12, [900, 901]), w[:30], 8) == (32, 30, 30)
+    assert stretch(w[:30], w[50:80], 8) == (0, 0, 0) == stretch(w[:0], w[:5], 8)
+
+
 def test_passages_of_every_copy(spark):
     rng = random.Random(3)
     some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
