@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literals import among, number_map, string_array, string_map
 from .lexicon import SUFFIXES, normalized, sized, with_suffixes
 
 MOST = 100_000  # keywords that are looked up as literals; a larger lexicon is joined
@@ -37,12 +38,12 @@ def _found(parts: Column, forms: Mapping[str, Sequence[str]], joint: str) -> Col
     """The forms, each given with its pieces, that stand in an array of pieces. Runs are put together only where their first piece is."""
     single = sorted(f for f, pieces in forms.items() if len(pieces) == 1)
     several = {f: pieces for f, pieces in forms.items() if len(pieces) > 1}
-    found = [F.filter(parts, lambda p: p.isin(*single))] if single else []
+    found = [F.filter(parts, lambda p: among(p, single))] if single else []
     if several:
         starts, sizes, names = sorted({p[0] for p in several.values()}), sorted({len(p) for p in several.values()}), sorted(several)
-        places = F.when(F.size(parts) > 1, F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.get(parts, i - 1).isin(*starts))).otherwise(F.array().cast("array<int>"))
+        places = F.when(F.size(parts) > 1, F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: among(F.get(parts, i - 1), starts))).otherwise(F.array().cast("array<int>"))
         runs = F.flatten(F.transform(places, lambda i: F.array(*(F.array_join(F.slice(parts, i, n), joint) for n in sizes))))
-        found.append(F.filter(runs, lambda r: r.isin(*names)))
+        found.append(F.filter(runs, lambda r: among(r, names)))
     return F.concat(*found)
 
 
@@ -71,7 +72,7 @@ def category_map(pairs: Sequence[tuple[str, str]]) -> Column:
     lists: dict[str, list[str]] = {}
     for category, keyword in pairs:
         lists.setdefault(keyword, []).append(category)
-    return F.map_from_arrays(F.array(*map(F.lit, lists)), F.array(*(F.array(*map(F.lit, v)) for v in lists.values())))
+    return string_map(lists)
 
 
 def match_keywords(posts: DataFrame, lexicon: DataFrame, text_col: str = "clean_text_lc", most: int | None = None) -> DataFrame:
@@ -148,7 +149,7 @@ def strict_places(text: Column, keywords: Sequence[str], exact: Sequence[str] =
             forms.setdefault(_alike(low + ending), []).append(at)
     found = [F.filter(F.array(*patterns), lambda i: i.isNotNull())] if patterns else []
     if forms:
-        table = F.map_from_arrays(F.array(*map(F.lit, forms)), F.array(*(F.array(*map(F.lit, v)) for v in forms.values())))
+        table = number_map(forms)
 
         def hits(parts: Column) -> Column:
             return F.flatten(F.transform(F.array_distinct(_found(parts, {f: _pieces(f) for f in forms}, "")), lambda g: F.try_element_at(table, g)))
@@ -165,7 +166,7 @@ def strict_matches(text: Column, keywords: Sequence[str], exact: Sequence[str] =
     """The keywords that stand in the text at word bounds, with or without a known ending, in the order given."""
     if not keywords:
         return F.array().cast("array<string>")
-    names = F.array(*map(F.lit, keywords))
+    names = string_array(keywords)
     return F.transform(strict_places(text, keywords, exact), lambda i: F.get(names, i))
 
 
@@ -183,7 +184,7 @@ def strict_hits(text: Column, lexicon: Mapping[str, Sequence[str]], more: Sequen
     none = F.array().cast("array<string>")
     if not owners:
         return F.struct(none.alias("types"), none.alias("words"), none.alias("more"))
-    names, kinds = F.array(*(F.lit(k) for k, _ in owners)), F.array(*(F.lit(c).cast("string") for _, c in owners))
+    names, kinds = string_array([k for k, _ in owners]), string_array([c for _, c in owners])
     cut = sum(c is not None for _, c in owners)
 
     def parts(places: Column) -> Column:

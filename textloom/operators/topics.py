@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import among
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -36,7 +38,7 @@ WEAK_WORDS = tuple(sorted(
 def tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:
     """Runs of two or more word characters of the lower-cased text, without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(*stopwords)) if stopwords else words
+    return F.filter(words, lambda w: ~among(w, list(stopwords))) if stopwords else words
 
 
 def vocabulary(docs: DataFrame, text_col: str = "clean_text", min_df: int = 2, stopwords: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lists import or_empty
+from ..functions.literals import among
 from ..operators import match, policy, summary
 from ..operators.lexicon import sized
 
@@ -46,9 +47,9 @@ def filtered_posts(raw: DataFrame, groups: DataFrame, lexicon: DataFrame, ai_key
     none = F.array().cast("array<string>")
 
     def lists(hits: Column) -> Column:
-        own = F.filter(hits, lambda h: h.isin(*words)) if words else none
+        own = F.filter(hits, lambda h: among(h, words)) if words else none
         types = F.flatten(F.transform(own, lambda h: F.try_element_at(match.category_map(pairs), h))) if words else none
-        return F.struct(F.sort_array(F.array_distinct(types)).alias("matched_bias_types"), F.sort_array(own).alias("matched_keywords"), F.exists(hits, lambda h: h.isin(*forms)).alias("ai") if forms else F.lit(False).alias("ai"))
+        return F.struct(F.sort_array(F.array_distinct(types)).alias("matched_bias_types"), F.sort_array(own).alias("matched_keywords"), F.exists(hits, lambda h: among(h, forms)).alias("ai") if forms else F.lit(False).alias("ai"))
 
     # inline keeps the lists from being worked out again in each filter over them.
     hits = F.transform(F.array(match.spaced_hits(F.col("clean_text_lc"), {*words, *forms})), lists)

@@ -672,8 +672,9 @@ def many_keyword_join(spark, sf_dir):
 
 
 @query(
-    rf"""WITH {GRAMS}, d AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT DISTINCT doc_id, category, keyword FROM d JOIN many ON contains(t, keyword)
- AND regexp_matches(t, '(^|[^\p{{L}}\p{{M}}\p{{Nd}}_])' || keyword || '(al|ed|es|ical|s|y)?($|[^\p{{L}}\p{{M}}\p{{Nd}}_])'))
+    rf"""WITH {GRAMS}, d AS (SELECT doc_id, lower(text) AS t, regexp_replace(lower(text), '([\p{{L}}\p{{M}}\p{{Nd}}_]+)', '<\1>', 'g') AS m FROM (SELECT doc_id, translate(text, '<>', '..') AS text FROM documents)),
+k AS (SELECT *, '<' || replace(keyword, ' ', '> <') AS w FROM many), h AS (SELECT DISTINCT doc_id, category, keyword FROM d JOIN k ON contains(t, keyword)
+ AND ({" OR ".join(f"contains(m, w || '{e}>')" for e in ("", "al", "ed", "es", "ical", "s", "y"))}))
 SELECT CAST(doc_id AS VARCHAR) AS id, array_to_string(list_sort(list(DISTINCT category)), ', ') AS types, array_to_string(list_sort(list(DISTINCT keyword)), ', ') AS words FROM h GROUP BY doc_id"""
 )
 def many_strict(spark, sf_dir):
