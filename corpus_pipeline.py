@@ -1,4 +1,8 @@
-"""From raw documents to token codes: five stages, each on all that the one before kept."""
+"""From raw documents to token codes: five stages, each on all that the one before kept.
+
+Ids may be of any type that can be ordered. Columns beyond doc_id, text, lang and source go along up to the last
+stage, whatever they are named. An empty table gives an empty one at every stage.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +18,27 @@ from textloom.llm.work import Work
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose histograms are near their language's."""
+    """Documents whose histograms are near their language's. Null, empty and short texts stay; a null language is one of its own; repeated rows fare alike."""
     return keep_by_divergence(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One row of each group of near copies, repeated rows included: that of least id, then least text. Rows of null id, and of null or empty text, stay."""
     return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Rows of null id, and of null or empty text, stay; an empty benchmark takes nothing."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Half of the tokens, evened out over sources."""
+    """Half of the tokens, evened out over sources; a null source is one of its own, and the rows of null id of a source go or stay together."""
     return mixed(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids as directly addressable codes."""
+    """Token ids as directly addressable codes, a row a row; a null text has null codes."""
     return token_codes(docs, RANKS, PATTERN)
 
 
