@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .work import Work, col
@@ -98,39 +99,59 @@ def _packer(capacity: int):
     return run
 
 
+GRAIN = 64  # groups under this part of the capacity are bundled when their bin is packed again
+
+
 def pack_groups(groups: DataFrame, capacity: int, full: float = 0.999) -> DataFrame:
     """groups(unit long, size long) -> (unit, size, shard long), shards numbered from 0.
 
     Groups are spread over lanes of about LANE groups by a hash, and each lane is packed by itself, in a
-    task of its own. A lane's bins are settled if they are `full` or no group that is left fits into them;
-    the groups of the others are packed again, in fewer lanes of that size, as long as each round halves
-    them. Those that are left then keep the bins they have.
+    task of its own. A lane's bins are settled if they are `full` or no group fits into them. What the other
+    bins hold is packed again, in fewer lanes, its small groups bundled to at least half a GRAIN-th of the
+    capacity, so that an open bin comes to a few dozen pieces however many groups it has. If that is too much
+    for half the lanes, only the emptier half of the bins is packed again. That goes on until one lane is
+    left, or the volume of the open bins shows that none can be saved, or no fewer lanes would do.
     """
     spark = groups.sparkSession
     work = Work(spark, "packing")
-    now, done, level = work.table(groups, "groups"), [], 0
+    now = work.table(groups.select("unit", "size"), "groups")
     n, least = now.agg(F.count("*"), F.min("size")).first()
+    settled, links = [], []
     while n:
-        lanes = -(-n // LANE)
+        level, lanes = len(settled), -(-n // LANE)
         laned = now.withColumn("lane", F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(lanes)).cast("long"))
         packed = work.table(laned.repartition(lanes, "lane").groupBy("lane").applyInPandas(_packer(capacity), "unit long, size long, lane long, bin long"), "packed")
-        used = packed.groupBy("lane", "bin").agg(F.sum("size").alias("used"), F.count("*").alias("n"))
-        is_open = (F.col("used") < full * capacity) & (F.col("used") + least <= capacity)
-        left = used.where(is_open).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if lanes > 1 else 0
-        if not left or left * 2 > n:
-            done.append(packed.withColumn("level", F.lit(level)))
+        used = packed.groupBy("lane", "bin").agg(F.sum("size").alias("used")).where((F.col("used") < full * capacity) & (F.col("used") + least <= capacity))
+        bins, volume, half = used.agg(F.count("*"), F.sum("used"), F.percentile_approx("used", 0.5)).first()
+        if lanes == 1 or not bins or -(-volume // capacity) >= bins:
+            settled.append(packed)
+            break
+        small = F.col("size") * GRAIN < capacity
+        upto = F.sum("size").over(Window.partitionBy("lane", "bin", small).orderBy(F.desc("size"), "unit").rowsBetween(Window.unboundedPreceding, -1))
+        bundle = F.xxhash64(F.lit(level + 1), "lane", "bin", F.floor(F.coalesce(upto, F.lit(0)) * GRAIN / capacity))
+        for some in (used, used.where(F.col("used") <= half)):
+            some = some.select("lane", "bin")
+            link = work.table(packed.join(some, ["lane", "bin"]).select("unit", "size", F.when(small, bundle).otherwise(F.col("unit")).alias("piece")), "links")
+            pieces = work.table(link.groupBy(F.col("piece").alias("unit")).agg(F.sum("size").alias("size")), "pieces")
+            n, least = pieces.agg(F.count("*"), F.min("size")).first()
+            if -(-n // LANE) * 2 <= lanes:
+                break
+        if -(-n // LANE) > 0.75 * lanes:
+            settled.append(packed)
             break
-        open_ = used.where(is_open).select("lane", "bin")
-        done.append(packed.join(open_, ["lane", "bin"], "left_anti").withColumn("level", F.lit(level)))
-        now = work.table(packed.join(open_, ["lane", "bin"]).select("unit", "size"), "rest")
-        n, least, level = left, now.agg(F.min("size")).first()[0], level + 1
-    if not done:
+        settled.append(packed.join(some, ["lane", "bin"], "left_anti"))
+        links.append(link)
+        now = pieces
+    if not settled:
         return now.select("unit", "size", F.lit(0).cast("long").alias("shard"))
-    out = done[0].select("unit", "size", "level", "lane", "bin")
-    for more in done[1:]:
-        out = out.union(more.select("unit", "size", "level", "lane", "bin"))
-    bins = work.table(out.select("level", "lane", "bin").distinct(), "bins")
-    per = bins.groupBy("level", "lane").agg(F.max("bin").alias("m")).collect()  # a row for each lane
+    levels = [t.select("unit", F.lit(i).alias("level"), "lane", "bin") for i, t in enumerate(settled)]
+    out, inside = settled[0].select("unit", "size", F.lit(0).alias("level"), "lane", "bin"), None
+    for i, more in enumerate(levels[1:]):
+        link = links[i].select(F.col("unit").alias("outer"), "piece")
+        inside = links[0] if inside is None else inside.withColumnRenamed("piece", "outer").join(link, "outer").select("unit", "size", "piece")
+        out = out.union(inside.join(more.withColumnRenamed("unit", "piece"), "piece").select("unit", "size", "level", "lane", "bin"))
+    tables = [t.select("level", "lane", "bin").distinct() for t in levels]
+    per = reduce(DataFrame.union, tables).groupBy("level", "lane").agg(F.max("bin").alias("m")).collect()  # a row for each lane
     base, at = [], 0
     for r in sorted(per, key=lambda r: (r.level, r.lane)):
         base.append((r.level, r.lane, at))
