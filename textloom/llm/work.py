@@ -72,6 +72,11 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows of df whose id isn't in the one column of ids, with their columns; rows of null id stay."""
+    """The rows of df whose id isn't in the one column of ids, with their columns; rows of null id stay.
+
+    ids are written first, so that Spark knows their size: it broadcasts them if they are few, and only
+    otherwise shuffles df.
+    """
     gone = fresh(df, "gone")
-    return df.join(ids.toDF(gone), col(id_col) == F.col(gone), "left_anti").select(*(col(c) for c in df.columns))
+    few = Work(df.sparkSession, "gone").table(ids.toDF(gone), "ids")
+    return df.join(few, col(id_col) == F.col(gone), "left_anti").select(*(col(c) for c in df.columns))
