@@ -320,6 +320,30 @@ def ward_of_means(spark, sf_dir):
     return spark.createDataFrame([(int(a), int(b), float(d), int(n)) for a, b, d, n in link], "a int, b int, distance double, size int")
 
 
+SSCP = ", ".join(f"sum({x} * {y}) - count(*) * avg({x}) * avg({y}) AS {x}{y}" for x, y in ("aa", "ab", "bb"))
+
+
+@query(
+    f"""WITH x AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), e AS (SELECT sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb FROM (SELECT {SSCP} FROM x GROUP BY label)),
+t AS (SELECT {SSCP} FROM x), d AS (SELECT e.aa * e.bb - e.ab * e.ab AS de, t.aa * t.bb - t.ab * t.ab AS dt, e.aa AS ea, e.ab AS eb, e.bb AS ec, t.aa AS ta, t.ab AS tb, t.bb AS tc FROM e, t)
+SELECT 'Wilks'' lambda' AS statistic, round(de / dt, 6) AS value FROM d UNION ALL SELECT 'Pillai''s trace', round((tc * (ta - ea) - 2 * tb * (tb - eb) + ta * (tc - ec)) / dt, 6) FROM d
+UNION ALL SELECT 'Hotelling-Lawley trace', round((ec * (ta - ea) - 2 * eb * (tb - eb) + ea * (tc - ec)) / de, 6) FROM d"""
+)
+def manova_statistics(spark, sf_dir):
+    """Three of the four statistics on two variables, for which SQL has determinants."""
+    cols = [f"emotion_{i}" for i in range(2)]
+    got = stats.manova(stats.widened(table(spark, sf_dir, "embeddings"), "embedding", 2), "label", cols)
+    return spark.createDataFrame([(k, round(float(v[0]), 6)) for k, v in got.items() if k != "Roy's greatest root"], "statistic string, value double")
+
+
+@query(
+    "WITH m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i, " + ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS e{i}" for i in range(VECTOR)) + " FROM embeddings GROUP BY label) SELECT CAST(x.i AS INTEGER) AS a, CAST(y.i AS INTEGER) AS b, round(sqrt(" + " + ".join(f"(x.e{i} - y.e{i}) ** 2" for i in range(VECTOR)) + "), 6) AS distance FROM m x JOIN m y ON x.i < y.i ORDER BY distance LIMIT 1"
+)
+def ward_first_merge(spark, sf_dir):
+    link = ward_of_means(spark, sf_dir)
+    return link.where("size = 2").orderBy("distance").limit(1).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
 def label_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("topic"), F.col("text").alias("clean_text"), (1.0 / (1 + F.col("doc_id") % 5)).alias("topic_probability"))
 
