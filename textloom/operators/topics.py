@@ -72,7 +72,7 @@ def _counts(words: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return F.transform(F.array(places), lambda b: F.map_from_arrays(F.transform(b, lambda i: F.get(s, i)), F.transform(b, lambda i, j: (F.coalesce(F.get(b, j + 1), F.size(s)) - i).cast("long"))))
 
-    counted = F.get(F.get(F.transform(F.array(F.array_sort(words)), of), F.lit(0)), F.lit(0))
+    counted = F.get(F.get(F.transform(F.array(F.sort_array(words)), of), F.lit(0)), F.lit(0))
     return F.when(F.size(words) > 0, counted)
 
 
