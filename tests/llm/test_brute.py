@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import licenses, mixing, packing, quality, warc
+from textloom.llm import chaining, licenses, mixing, packing, quality, warc
 from textloom.llm.chaining import GAP_COST, chains, shared_passages, stretch
 from textloom.llm.decontaminate import contaminated, pack, unpack
 from textloom.llm.mixing import flight, landing, sample_sources, target_probabilities
@@ -205,6 +205,33 @@ def test_passages_of_every_copy(spark):
     assert got == {(2, 20, 1, 30), (2, 145, 1, 30), (2, 290, 1, 30), (4, 40, 3, 0), (4, 40, 3, 135), (4, 40, 3, 250)}
 
 
+def test_passages_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    edited = lambda x: [some(1)[0] if i % 12 == 5 + rng.randrange(3) else w for i, w in enumerate(x)]
+    line, x, y, z = some(13), some(30), some(30), some(70)
+    rows = [some(40) + x + some(40), some(40) + y + some(40)]  # the parts of the next two stand earlier
+    rows += [some(40) + [w if i % 20 != j else "new" for i, w in enumerate(x + y)] + some(30) for j in (9, 13)]
+    rows += [some(20) + edited(z) + some(20) for _ in range(6)]  # different texts, each tied to each
+    rows += [some(50) + line for _ in range(20)]  # a line in many places, which alone is no passage
+    for gap in (0, 1, 2):  # passages through that line, one side a word or two longer
+        for side in (0, 1):
+            x = some(45)
+            for n in (0, gap):
+                parts = [edited(x), some(n), line] if side == 0 else [line, some(n), edited(x)]
+                rows.append(some(25) + [w for p in parts for w in p] + some(25))
+    rows += [some(5)] * 4  # nothing stands around their seed
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").cache()
+    found = {}
+    for places in (2, 10**9):
+        monkeypatch.setattr(chaining, "PLACES", places)
+        found[places] = sorted(map(tuple, shared_passages(df).collect()))
+    assert found[2] == found[10**9]
+    pairs = {(r[0], r[3]) for r in found[2]}
+    assert (3, 2) in pairs and {(i, j) for i in range(4, 10) for j in range(4, i)} <= pairs
+    assert {(i + 1, i) for i in range(30, 42, 2)} <= pairs and not any(10 <= i < 30 for p in pairs for i in p)
+
+
 def test_flight():
     rng = random.Random(3)
     for n in (0, 1, 2, 3, 50, 400):
