@@ -232,6 +232,17 @@ def test_passages_of_all_pairs(spark, monkeypatch):
     assert {(i + 1, i) for i in range(30, 42, 2)} <= pairs and not any(10 <= i < 30 for p in pairs for i in p)
 
 
+def test_passages_of_copies(spark):
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    x, short = some(120), some(44)
+    y = [*x[:60], "new", *x[60:]]
+    rows = [(i, " ".join((x, y, short)[i % 3])) for i in range(60)]
+    found = shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.other_id, r.begin_word, r.end_word, r.other_begin_word, r.other_end_word) for r in found)
+    assert got == sorted([(1, 0, 0, 121, 0, 120), *((i, i % 3, 0, 120 + i % 3, 0, 120 + i % 3) for i in range(3, 60) if i % 3 < 2)])
+
+
 def test_flight():
     rng = random.Random(3)
     for n in (0, 1, 2, 3, 50, 400):
