@@ -7,6 +7,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from textloom import queries
 from textloom.functions import lists as L
 from textloom.functions import parsing as P
 from textloom.functions import text as T
@@ -355,3 +356,14 @@ def test_clean_dataset(spark):
     assert got.columns == list(CLEAN) and len(CLEAN) == 13
     by = {r.id: r for r in got.collect()}
     assert set(by) == {"1", "3"} and by["1"].clean_text == "a" and by["1"].top_comments == ["x y", "z"] and by["3"].flair is None
+
+
+def test_keep_last_ties(spark, tmp_path):
+    """Of equal lines the first in the files stays, in whatever order Spark reads them: here the larger, later file first."""
+    rows = "l_orderkey long, l_linenumber int, l_quantity double"
+    for name, some in (("a", [(1, 5, 1.0)]), ("b", [(1, 5, 2.0)] + [(k, 1, float(k)) for k in range(2, 5000)])):
+        spark.createDataFrame(some, rows).coalesce(1).write.parquet(str(tmp_path / name))
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    got = queries.keep_last_by_id(spark, str(tmp_path))
+    assert got.where("l_orderkey = 1").first().l_quantity == 1.0 and got.count() == 4999

@@ -100,10 +100,10 @@ def histogram(values: DataFrame, column: str, bins: int = 30, low: float = 0.0,
     return values.where(F.col(column).between(low, high)).groupBy(b.alias("bin")).agg(F.count("*").alias("cnt"))
 
 
-def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of each key the row that comes last in order, placed where the key first appears."""
+def keep_last(df: DataFrame, key: str, order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Of each key the row that comes last in order, placed where the key first appears; of equals the first by ties, or any."""
     w = Window.partitionBy(key)
-    turn = F.row_number().over(w.orderBy(F.desc(order)))
+    turn = F.row_number().over(w.orderBy(F.desc(order), *ties))
     return df.withColumns({"first_at": F.min(order).over(w), "turn": turn}).where("turn = 1").drop("turn")
 
 
