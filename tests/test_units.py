@@ -367,3 +367,31 @@ def test_keep_last_ties(spark, tmp_path):
         next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
     got = queries.keep_last_by_id(spark, str(tmp_path))
     assert got.where("l_orderkey = 1").first().l_quantity == 1.0 and got.count() == 4999
+
+
+ODD = ["", " ", "\n", "\t x ", " lead", "trail ", "a\r\nb", "a\rb", " ", "none", " [Removed] ", '"q"', '"', "\\", 'a\\"b', "x,y", "a\n", "que", None]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """documents of blank and odd texts, each under five ids, and what a query's SQL says of them."""
+    import duckdb
+
+    at = str(tmp_path_factory.mktemp("odd"))
+    docs = [(i, t, "en", f"src{i % 12}", len(t or "")) for i, t in enumerate(t for t in ODD for _ in range(5))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{at}/documents.parquet/*.parquet'")
+
+    def check(name):
+        f, sql = queries.Q[name]
+        want = c.execute(sql)
+        names = [x[0] for x in want.description]
+        assert sorted(map(repr, map(tuple, f(spark, at).select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+
+    return check
+
+
+def test_csv_keeps_texts(odd):
+    """Empty texts and white space come back from CSV as they went in."""
+    odd("json_to_csv")

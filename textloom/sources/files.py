@@ -117,7 +117,8 @@ def parse_lines(lines: DataFrame, schema: str = RAW, text_col: str = "value") ->
 def read_csv_set(spark: SparkSession, glob: str, usual: Sequence[str] = USUAL) -> DataFrame:
     """All CSV files of a glob as text columns, put together by column name; columns that a file lacks are null in its rows.
 
-    The usual columns are always there, and a null subreddit is the file's name without _keyword_filtered. Files
+    An empty cell is null, one of "" an empty text; white space stays.
+    The usual columns are always there, and a null or empty subreddit is the file's name without _keyword_filtered. Files
     with one header are read as one set. A file that can't be read, or has no header, is left out with a
     warning; no file at all is an error, and so is none that can be read.
     """
@@ -142,17 +143,18 @@ def read_csv_set(spark: SparkSession, glob: str, usual: Sequence[str] = USUAL) -
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:_keyword_filtered|_filtered_cleaned)?\.csv$", 1)
     out: DataFrame | None = None
     for names, some in sets.items():
-        df = reader.option("header", True).schema(", ".join(f"`{n}` string" for n in names)).csv(some)
+        # Spark takes empty texts for nulls, unless what stands for null is something else; unquoted empty cells are null all the same.
+        df = reader.option("header", True).option("nullValue", "\0null").schema(", ".join(f"`{n}` string" for n in names)).csv(some)
         df = df.withColumns({c: F.lit(None).cast("string") for c in usual if c not in df.columns})
-        df = df.withColumn("subreddit", F.coalesce("subreddit", F.url_decode(stem)))
+        df = df.withColumn("subreddit", F.coalesce(F.nullif("subreddit", F.lit("")), F.url_decode(stem)))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With a header; array columns become comma-separated text. Parts are committed whole."""
+    """With a header; array columns become comma-separated text. Texts are kept as they are, empty ones (as "") and white space around them too. Parts are committed whole."""
     flat = [F.array_join(c, ", ").alias(c) if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_header(spark: SparkSession, columns: Sequence[str], path: str) -> None:
