@@ -403,3 +403,11 @@ def test_clean_columns_of_blank_documents(odd):
 def test_csv_keeps_texts(odd):
     """Empty texts and white space come back from CSV as they went in."""
     odd("json_to_csv")
+
+
+def test_texts_reach_the_model_in_batches(spark):
+    """Texts come as Arrow arrays, and only a batch of them at once as Python's: no pandas, which holds all of a partition's part twice."""
+    assert not hasattr(models, "pd")
+    df = spark.range(25).coalesce(1).select("id", F.when(F.col("id") != 7, F.concat(F.lit("text "), "id")).alias("clean_text"))
+    got = models.classify(df, lambda: lambda ts: [f"Label: no\nReasoning: {len(ts)} of a batch" for _ in ts]).groupBy("llm_reasoning").count().collect()
+    assert sorted((r[0], r[1]) for r in got) == [("16 of a batch", 16), ("9 of a batch", 9)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,25 +33,28 @@ def classify(posts: DataFrame, load: Callable[[], Callable[[list[str]], list[str
     error text is ever read as a model's answer. A blank answer counts as [EMPTY_OUTPUT].
     """
 
-    @F.pandas_udf("raw string, why string")
-    def generate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("raw string, why string")
+    def generate(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = None
         try:
             model = load()
         except Exception:
             log.exception("no model")
         for texts in parts:
-            out: list[tuple[str, str | None]] = []
-            for at in range(0, len(texts), batch):
-                some = ["" if t is None else t for t in texts.iloc[at : at + batch].tolist()]
+            raw: list[str] = []
+            why: list[str | None] = []
+            for at in range(0, len(texts), batch):  # no more texts at once are made Python's
                 if model is None:
-                    out += [("", LOAD_FAILED)] * len(some)
-                    continue
+                    raw, why = [""] * len(texts), [LOAD_FAILED] * len(texts)
+                    break
+                some = ["" if t is None else t for t in texts.slice(at, batch).to_pylist()]
                 try:
-                    out += [(str(x).strip() or "[EMPTY_OUTPUT]" if x is not None else "[EMPTY_OUTPUT]", None) for x in _answers(model, some)]
+                    raw += [str(x).strip() or "[EMPTY_OUTPUT]" if x is not None else "[EMPTY_OUTPUT]" for x in _answers(model, some)]
+                    why += [None] * len(some)
                 except Exception as e:
-                    out += [("", f"Postprocessing failed: {e}")] * len(some)
-            yield pd.DataFrame(out, columns=["raw", "why"], index=texts.index).astype("object")
+                    raw += [""] * len(some)
+                    why += [f"Postprocessing failed: {e}"] * len(some)
+            yield pa.StructArray.from_arrays([pa.array(raw, pa.string()), pa.array(why, pa.string())], names=["raw", "why"])
 
     made, parsed = fresh_name(posts, "made"), fresh_name(posts, "parsed")
     scored = posts.withColumn(made, generate(F.col(text_col)))
@@ -75,21 +78,36 @@ def classify_one(spark: SparkSession, text: str, load: Callable, subreddit: str
 def emotions(text: Column, load: Callable[[], Callable[[list[str]], list[list[tuple[str, float]]]]], batch: int = 32) -> Column:
     """All (label, score) of each text, highest first; a blank text has none, and one whose batch failed is null."""
 
-    @F.pandas_udf("array<struct<label:string,score:double>>")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<label:string,score:double>>")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
+        kind = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))
+
+        def scored(some: list[str]) -> list:
+            try:
+                return [sorted(({"label": a, "score": float(b)} for a, b in x), key=lambda d: (-d["score"], d["label"])) for x in _answers(model, some)]
+            except Exception:
+                log.exception("a batch failed")
+                return [None] * len(some)
+
         for texts in parts:
-            real = [t for t in texts if t is not None and t.strip()]
-            got: list = []
-            for at in range(0, len(real), batch):
-                some = real[at : at + batch]
-                try:
-                    got += [sorted(({"label": a, "score": float(b)} for a, b in x), key=lambda d: (-d["score"], d["label"])) for x in _answers(model, some)]
-                except Exception:
-                    log.exception("a batch failed")
-                    got += [None] * len(some)
-            found = iter(got)
-            yield pd.Series([next(found) if t is not None and t.strip() else [] for t in texts], index=texts.index, dtype="object")
+            out: list = [[] for _ in range(len(texts))]
+            held: list[tuple[int, str]] = []  # texts that aren't blank, up to a batch
+
+            def flush() -> None:
+                for (i, _), x in zip(held, scored([t for _, t in held]), strict=True):
+                    out[i] = x
+                held.clear()
+
+            for i, text in enumerate(texts):
+                t = text.as_py()
+                if t is not None and t.strip():
+                    held.append((i, t))
+                    if len(held) == batch:
+                        flush()
+            if held:
+                flush()
+            yield pa.array(out, kind)
 
     return score(text)
 
