@@ -411,3 +411,13 @@ def test_texts_reach_the_model_in_batches(spark):
     df = spark.range(25).coalesce(1).select("id", F.when(F.col("id") != 7, F.concat(F.lit("text "), "id")).alias("clean_text"))
     got = models.classify(df, lambda: lambda ts: [f"Label: no\nReasoning: {len(ts)} of a batch" for _ in ts]).groupBy("llm_reasoning").count().collect()
     assert sorted((r[0], r[1]) for r in got) == [("16 of a batch", 16), ("9 of a batch", 9)]
+
+
+def test_words_are_counted_once(spark, tmp_path):
+    """Texts are cut into words once in a plan, for the words of a topic as for their pairs."""
+    rows = [("x", "apple apple pear fig"), ("x", "apple pear"), ("y", "pear fig fig"), (None, "fig apple")]
+    spark.createDataFrame(rows, "topic string, clean_text string").write.parquet(str(tmp_path / "d"))
+    pairs = topics.word_pairs(topics.topic_words(spark.read.parquet(str(tmp_path / "d")), n=2))
+    assert sorted(map(tuple, pairs.collect())) == [("x", "apple", "pear"), ("y", "fig", "pear")]
+    final = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Generate explode(map_entries") == 1

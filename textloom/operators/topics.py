@@ -58,9 +58,11 @@ def topic_words(docs: DataFrame, text_col: str = "clean_text", n: int = 10, min_
     # Counted within the document first, so a word travels once a document.
     cells = docs.select("topic", F.explode(F.map_entries(_counts(tokens(F.col(text_col), stopwords)))).alias("e"))
     tf = cells.groupBy("topic", F.col("e.key").alias("word")).agg(F.sum("e.value").alias("tf"), F.count("*").alias("df"))
-    per_word = tf.groupBy("word").agg(F.sum("tf").alias("f"), F.sum("df").alias("df")).where(F.col("df") >= min_df).drop("df")
-    mean = tf.groupBy("topic").agg(F.sum("tf").alias("t")).agg(F.avg("t").alias("a"))
-    scored = tf.join(per_word, "word").crossJoin(F.broadcast(mean)).withColumn("score", F.col("tf") * F.log1p(F.col("a") / F.col("f")))
+    # Over the word's window the texts are read for it once; and the mean asks for both columns, so that it shares the exchange of tf.
+    per_word = Window.partitionBy("word")
+    frequent = tf.withColumns({"f": F.sum("tf").over(per_word), "d": F.sum("df").over(per_word)}).where(F.col("d") >= min_df)
+    mean = tf.groupBy("topic").agg(F.sum("tf").alias("t"), F.sum("df").alias("d")).where("d > 0").agg(F.avg("t").alias("a"))
+    scored = frequent.crossJoin(F.broadcast(mean)).withColumn("score", F.col("tf") * F.log1p(F.col("a") / F.col("f")))
     w = Window.partitionBy("topic").orderBy(F.desc("score"), "word")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("topic", "word", "score", "rank")
 
@@ -89,4 +91,5 @@ def attach(docs: DataFrame, metadata: DataFrame, key: str = "id") -> DataFrame:
 
 def word_pairs(words: DataFrame) -> DataFrame:
     """(topic, a, b): all pairs of a topic's words."""
-    return words.select("topic", F.col("word").alias("a")).join(words.select("topic", F.col("word").alias("b")), "topic").where("a < b")
+    listed = words.where("topic is not null").groupBy("topic").agg(F.collect_list("word").alias("b"))  # not joined with itself, so words are worked out once
+    return listed.select("topic", F.explode("b").alias("a"), "b").select("topic", "a", F.explode("b").alias("b")).where("a < b")
